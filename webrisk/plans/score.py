@@ -32,8 +32,7 @@ class ScoreOptions:
 
     ``text_limit`` and ``excerpt_chars`` cut the page text that feeds the content rules
     and the text score; None (default) uses whole texts. ``model_sees_page`` says
-    whether the 30-feature URL model may look at the page. ``url_only_text`` scores a
-    row without URL analysis (text mode).
+    whether the 30-feature URL model may look at the page.
     """
 
     weights: Mapping[str, float] = field(default_factory=lambda: dict(K.COMPONENT_WEIGHTS))
@@ -44,6 +43,8 @@ class ScoreOptions:
     url_model_issue: str | None = None
     text_model_issue: str | None = None
     text_model_name: str | None = None
+    # confidence credited to reputation when no findings are given (0.2 if providers were reachable)
+    intel_confidence_default: float = 0.0
     with_timeline: bool = False
     with_explanation: bool = True
 
@@ -92,7 +93,7 @@ def score_pages(
     df = _maybe(df, "intel_findings", F.array().cast(FINDINGS_DDL))
     df = _maybe(df, "intel_issues", F.array().cast(text_rules.ISSUES_DDL))
     df = _maybe(df, "intel_score", F.lit(0))
-    df = _maybe(df, "intel_confidence", F.lit(0.0))
+    df = _maybe(df, "intel_confidence", F.lit(o.intel_confidence_default))
     if interactions is not None:
         df = df.join(
             interactions.select(*keys, "interaction_events", "interaction_signals"), keys, "left")
@@ -104,7 +105,7 @@ def score_pages(
         "intel_findings": F.coalesce("intel_findings", F.array().cast(FINDINGS_DDL)),
         "intel_issues": F.coalesce("intel_issues", F.array().cast(text_rules.ISSUES_DDL)),
         "intel_score": F.coalesce("intel_score", F.lit(0)),
-        "intel_confidence": F.coalesce("intel_confidence", F.lit(0.0)),
+        "intel_confidence": F.coalesce("intel_confidence", F.lit(o.intel_confidence_default)),
         "redirect_chain": F.coalesce("redirect_chain", F.array().cast("array<string>")),
     })
 
@@ -247,7 +248,7 @@ def score_urls(urls: DataFrame, keys: list[str], options: ScoreOptions | None =
         "redirect_chain": F.array().cast("array<string>"),
         "intel_findings": F.array().cast(FINDINGS_DDL),
         "intel_issues": F.array().cast(text_rules.ISSUES_DDL),
-        "intel_score": F.lit(0), "intel_confidence": F.lit(0.0),
+        "intel_score": F.lit(0), "intel_confidence": F.lit(o.intel_confidence_default),
         "dom_signals": no_signals(), "content_signals": no_signals(),
         "analytics_context": F.lit(False),
         "elements": F.array().cast(H_ELEMENTS),
