@@ -1,8 +1,7 @@
 """Readers for URL feeds, labelled CSVs, ranked domains and page corpora.
 
-Feeds have no row numbers, so ``line_no`` orders the rows of a file: files below a
-size limit are read whole and numbered exactly; larger ones are split by Spark, and
-their rows are ordered by (file, value) instead, which is stated in ``line_no`` as -1.
+Feeds have no row numbers; ``line_no`` is the position of a row in its file and gives
+the load order that keep-first and first-n operators rely on.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from webrisk.functions import text as T
 from webrisk.functions import urls as U
 
 STANDARD_COLUMNS = ["url", "domain", "label", "label_text", "source_dataset", "raw_value"]
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
 CORPUS_DDL = (
     "id string, label string, category string, url string, text string, html string, "
     "expected_patterns array<string>, expected_classification_min string, "
@@ -38,26 +36,28 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def scan_position() -> Column:
+    """Position of a row in its file: block start plus the row number inside the task.
+
+    A task reads a block in order and a block holds fewer rows than bytes, so positions
+    grow along the file even when it is split over many tasks.
+    """
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
 def _lines(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
-    """source_file, line_no, value of every line below the paths."""
-    paths = [path] if isinstance(path, str) else list(path)
-    files = spark.read.format("binaryFile").load(paths).select("path", "length")
-    largest = files.agg(F.max("length")).first()[0] or 0
-    if largest > WHOLE_FILE_LIMIT:
-        reader = spark.read.option("encoding", encoding) if encoding else spark.read
-        return reader.text(paths).select(
-            F.col("_metadata.file_path").alias("source_file"), F.lit(-1).cast("long").alias("line_no"),
-            "value")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    if encoding:
-        text = F.decode("content", encoding)
-    else:
-        # latin-1 where the bytes are not UTF-8
-        text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(
-            F.decode("content", "ISO-8859-1"))
-    return raw.select(
-        F.col("path").alias("source_file"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line_no", "value")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    """source_file, line_no, value of every line below the paths.
+
+    Without an explicit encoding, a line that is not valid UTF-8 is read as Latin-1.
+    """
+    reader = spark.read.option("encoding", encoding) if encoding else spark.read
+    value = F.col("value")
+    if not encoding:
+        value = F.when(F.is_valid_utf8(value), value).otherwise(
+            F.decode(value.cast("binary"), "ISO-8859-1"))
+    return reader.text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("source_file"), scan_position().alias("line_no"),
+        value.alias("value"))
 
 
 def standard_records(raw: DataFrame, value: str = "raw_value") -> DataFrame:
@@ -126,7 +126,7 @@ def _csv(spark: SparkSession, path) -> DataFrame:
     sep = max([",", ";", "\t", "|"], key=header.count) if header and "," not in header else ","
     return spark.read.option("header", True).option("sep", sep).csv(path).withColumns({
         "source_file": F.col("_metadata.file_path"),
-        "line_no": F.col("_metadata.file_block_start") + F.monotonically_increasing_id(),
+        "line_no": scan_position(),
     })
 
 
@@ -186,7 +186,7 @@ def read_json_urls(spark: SparkSession, path) -> DataFrame:
     """Page corpus as standard URL records; unknown labels become -1."""
     df = spark.read.schema(CORPUS_DDL).option("multiLine", True).json(path).select(
         "*", F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("line_no"))
+        scan_position().alias("line_no"))
     url = U.normalize_url(F.col("url"))
     text = F.coalesce("label", F.lit("unknown"))
     return df.select(
