@@ -1 +1,105 @@
+"""Text queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from checks import sql as S
+from checks.registry import register
+from webrisk import catalogs as K
+from webrisk.functions import text as T
+from webrisk.operators.text_rules import content_evidence, text_scores
+
+TEXTS = f"with {S.PLANTED_TEXTS}"
+BANGS = "(length(text) - length(replace(text, '!', '')))"
+UPPER = f"({S.hits('text', chr(92) + 'p{Lu}')}::double / greatest(1, {S.hits('text', chr(92) + 'pL')}))"
+CAPS = "len(list_filter(regexp_extract_all(text, '[A-Za-z]{3,}'), lambda t: t = upper(t)))"
+
+
+def _content_rule(code):
+    _, sev, cat, base, pattern = K.CONTENT_RULES[code]
+    n = S.hits("lower(text)", pattern)
+    return (f" select doc_id, '{code}' as code, '{sev}' as severity, '{cat}' as category, "
+            f"least(28, {base} + (n - 1) * 2)::int as score_impact, "
+            f"round(least(0.95::double, 0.66::double + n * 0.05::double), 6) as confidence "
+            f"from (select doc_id, {n} as n from pt) where n > 0")
+
+
+@register("content_evidence", TEXTS + " union all ".join(_content_rule(c) for c in K.CONTENT_RULES) + f"""
+ union all select doc_id, 'content-emotional-amplification', 'low', 'social-engineering', 8, 0.62::double
+ from pt where {BANGS} >= 6 or {UPPER} >= 0.32""")
+def content(spark, sf):
+    return content_evidence(I.planted_texts(spark, sf), ["doc_id"]).select(
+        "doc_id", "code", "severity", "category", "score_impact", F.round("confidence", 6).alias("confidence"))
+
+
+def _sub(key):
+    pattern, base, _, _ = K.TEXT_SCORE_RULES[key]
+    n = S.hits("lower(text)", pattern)
+    return f"case when {n} > 0 then least(36, {base} + ({n} - 1) * 4) else 0 end as {key}"
+
+
+SUB = ", ".join(_sub(k) for k in K.TEXT_SCORE_RULES)
+KEYS = list(K.TEXT_SCORE_RULES) + ["emotional_pressure"]
+SCORES = f"""{TEXTS}, s as (
+  select doc_id, {SUB}, case when {BANGS} >= 6 then 5 else 0 end + case when {CAPS} >= 3 then 6 else 0 end as emotional_pressure
+  from pt)"""
+ISSUE_COUNT = " + ".join(f"({k} > 0)::int" for k in KEYS)
+
+
+@register("text_scores", f"""{SCORES}
+select doc_id, least(100, {' + '.join(KEYS)})::int as text_score,
+  round(0.42::double + least(0.45::double, ({ISSUE_COUNT}) * 0.07::double), 2) as text_confidence, 'rules-only' as text_mode,
+  {', '.join(f'{k}::int as {k}' for k in KEYS)} from s""")
+def scores(spark, sf):
+    df = text_scores(I.planted_texts(spark, sf), ["doc_id"])
+    return df.select("doc_id", "text_score", "text_confidence", "text_mode",
+                     *[F.col("text_sub_scores")[k].alias(k) for k in KEYS])
+
+
+_NAMES = {k: f"nlp-{k}" for k in K.TEXT_SCORE_RULES} | {"emotional_pressure": K.PRESSURE_ISSUE[0]}
+_SEV = {k: v[2] for k, v in K.TEXT_SCORE_RULES.items()} | {"emotional_pressure": "low"}
+
+
+@register("text_issues", SCORES + " union all ".join(
+    f" select doc_id, '{_NAMES[k]}' as code, '{_SEV[k]}' as severity from s where {k} > 0" for k in KEYS))
+def issues(spark, sf):
+    df = text_scores(I.planted_texts(spark, sf), ["doc_id"])
+    return df.select("doc_id", F.explode("text_issues").alias("i")).select("doc_id", "i.code", "i.severity")
+
+
+@register("text_stats", f"""{TEXTS}
+select doc_id, {BANGS} as exclamations, round({UPPER}, 6) as uppercase_ratio, {CAPS} as all_caps_tokens from pt""")
+def stats(spark, sf):
+    t = F.col("text")
+    return I.planted_texts(spark, sf).select(
+        "doc_id", T.count_of(t, "!").alias("exclamations"),
+        F.round(T.uppercase_ratio(t), 6).alias("uppercase_ratio"), T.all_caps_tokens(t).alias("all_caps_tokens"))
+
+
+CONTEXT = {1: "please enter the 6-digit code", 2: "Sign in with your account", 3: "Enable notifications here",
+           4: "use your authenticator app"}
+
+
+@register("context_flags", f"""
+with t as (select doc_id, text || ' ' || {S.case('doc_id % 6', {k: S.text(v) for k, v in CONTEXT.items()}, "''")} as text from documents)
+select doc_id, {S.any_of('lower(text)', K.OAUTH_TEXT_HINTS)} as oauth_context, {S.any_of('lower(text)', K.MFA_HINTS)} as mfa_context,
+  {S.any_of('lower(text)', K.NOTIFICATION_HINTS)} as notification_context from t""")
+def context(spark, sf):
+    from webrisk.operators.evidence import with_context_flags
+
+    d = I.table(spark, sf, "documents")
+    df = d.select(
+        "doc_id", F.concat_ws(" ", "text", I.cases(F.col("doc_id") % 6, CONTEXT, F.lit(""))).alias("text"),
+        F.lit("https://www.example.com/").alias("normalized_url"))
+    return with_context_flags(df, "text").select(
+        "doc_id", "oauth_context", "mfa_context", "notification_context")
+
+
+@register("score_texts")
+def text_verdicts(spark, sf):
+    from webrisk.plans.score import score_texts
+
+    return score_texts(I.planted_texts(spark, sf), ["doc_id"]).select(
+        "doc_id", "risk_score", "classification", "confidence", "text_score", "coercion_score")

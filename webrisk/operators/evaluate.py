@@ -157,7 +157,7 @@ def score_bins(records: DataFrame, bins: int = 24) -> DataFrame:
 def pattern_frequency(records: DataFrame, top: int = 12, column: str = "attack_patterns") -> DataFrame:
     """Most frequent pattern codes, ties by code."""
     return (
-        records.select(F.explode(column).alias("code"))
+        records.select(F.explode_outer(column).alias("code"))
         .filter(F.trim("code") != "")
         .groupBy("code").agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "code").limit(top)
@@ -221,13 +221,13 @@ def corpus_by_label(rows: DataFrame) -> DataFrame:
 
 
 def pattern_coverage(rows: DataFrame) -> DataFrame:
-    return rows.select(F.explode("matched_patterns").alias("code")).groupBy("code").agg(
-        F.count("*").alias("n"))
+    return rows.select(F.explode_outer("matched_patterns").alias("code")).filter(
+        "code is not null").groupBy("code").agg(F.count("*").alias("n"))
 
 
 def noisy_signals(rows: DataFrame, top: int = 10) -> DataFrame:
     """Top codes that are severe on benign pages, and top low-impact codes off malicious pages."""
-    e = rows.select("label", F.explode("evidence").alias("e"))
+    e = rows.select("label", F.explode_outer("evidence").alias("e")).filter("e is not null")
     kinds = F.array_compact(F.array(
         F.when((F.col("label") == "benign") & F.col("e.severity").isin("high", "critical"),
                F.lit("benign_high_severity")),

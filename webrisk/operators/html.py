@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from webrisk import catalogs as K
+from webrisk.functions.plan import explode_rows
 
 # ship the reader inside the task, so executors need no installed copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -167,7 +168,7 @@ def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     """One row per start tag: seq, tag, innermost form, attributes, class text, hidden flag."""
     parsed = parse_pages(pages.select(key, html), html)
     e = F.col("e")
-    return parsed.select(key, F.explode("elements").alias("e")).select(
+    return explode_rows(parsed, [key], "elements", "_i", "e").select(
         key,
         e["seq"].alias("seq"),
         e["tag"].alias("tag"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
 from webrisk.functions import text as T
+from webrisk.functions.plan import explode_rows
 from webrisk.operators.signals import BUCKETS, has_code
 
 PATTERNS_DDL = (
@@ -138,6 +139,6 @@ def with_narrative(df: DataFrame) -> DataFrame:
 
 def explode_patterns(df: DataFrame, keys: list[str]) -> DataFrame:
     """Long table of attack patterns with their rank."""
-    return df.select(*keys, F.posexplode("attack_patterns").alias("_i", "_p")).select(
+    return explode_rows(df, keys, "attack_patterns", "_i", "_p").select(
         *keys, (F.col("_i") + 1).alias("pattern_rank"), "_p.*"
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrisk.functions import text as T
+from webrisk.functions.plan import explode_rows
 
 SIGNAL_DDL = (
     "struct<code:string,title:string,description:string,severity:string,source:string,"
@@ -104,6 +105,6 @@ def explode_signals(df: DataFrame, keys: Sequence[str], buckets: Sequence[str] =
         )
 
     tagged = F.concat(*[tag(b) for b in buckets])
-    return df.select(*keys, F.posexplode(tagged).alias("seq", "_e")).select(
+    return explode_rows(df, keys, tagged, "seq", "_e").select(
         *keys, F.col("_e.bucket").alias("bucket"), "seq", "_e.s.*"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
 from webrisk.functions import text as T
+from webrisk.functions.plan import explode_rows, sealed
 from webrisk.operators.verdict import class_rank, classify
 
 _STEP_DDL = (
@@ -189,7 +190,7 @@ def with_timeline(df: DataFrame, started_at: Column | None = None) -> DataFrame:
         F.array().cast(f"array<{_EVENT_DDL}>").alias("events"),
     ).cast(_STATE_DDL)
     df = df.withColumn("_steps", F.concat(*parts))
-    df = df.withColumn("_state", F.aggregate("_steps", zero, _emit))
+    df = sealed(df.withColumn("_state", F.aggregate("_steps", zero, _emit)), ["_state"])
 
     final, confidence = F.col("risk_score"), F.col("confidence")
     state = F.col("_state")
@@ -221,6 +222,7 @@ def with_timeline(df: DataFrame, started_at: Column | None = None) -> DataFrame:
         F.when(final > state["score"], _emit(state, adjust)).when(final < state["score"], lowered)
         .otherwise(even),
     )
+    df = sealed(df, ["_final"])
     last = F.col("_final")
     closing = F.struct(
         F.lit("conclusion").alias("stage"), F.lit("reasoning").alias("source"),
@@ -246,7 +248,7 @@ def with_timeline(df: DataFrame, started_at: Column | None = None) -> DataFrame:
 
 def explode_timeline(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per timeline event."""
-    return df.select(*keys, F.posexplode("timeline").alias("event_no", "_e")).select(
+    return explode_rows(df, keys, "timeline", "event_no", "_e").select(
         *keys, "event_no", "_e.*")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
 from webrisk.functions import text as T
+from webrisk.functions.plan import sealed
 from webrisk.operators.signals import BUCKETS, SIGNALS_DDL, has_code, is_severe, search_text
 
 COMPONENTS = list(K.COMPONENT_WEIGHTS)
@@ -121,7 +122,8 @@ def with_component_scores(df: DataFrame, fix_codes: bool = False) -> DataFrame:
         "reputation_score": F.greatest("reputation_rule_score", T.clamp(F.col("intel_score"), 0, 100)),
         "redirect_risk": T.clamp(chain + F.least(F.lit(35), behavior), 0, 100),
     })
-    return df.drop("_rows", "_settled", *[f"{b}_rule_score" for b in BUCKETS])
+    df = df.drop("_rows", "_settled", *[f"{b}_rule_score" for b in BUCKETS])
+    return sealed(df, ["strong_rows", *[f"{b}_signals" for b in BUCKETS], *COMPONENTS])
 
 
 def with_risk_score(
@@ -173,10 +175,14 @@ def with_risk_score(
     ))
     df = df.withColumns({"risk_cap": cap.cast("int"), "calibration_notes": notes, "_lifted": lifted})
     df = df.withColumn("risk_score", T.clamp(F.least("_lifted", "risk_cap"), 0, 100).cast("int"))
-    return df.withColumn("classification", classify(F.col("risk_score"))).drop(
+    df = df.withColumn("classification", classify(F.col("risk_score"))).drop(
         "_raw", "_pattern", "_social", "_cluster", "_calm", "_trust_cap", "_thin", "_dom_lift",
         "_lifted", "_social_lift",
     )
+    return sealed(df, [
+        *[f"_w_{c}" for c in COMPONENTS], "_all", "risk_cap", "calibration_notes", "risk_score",
+        "classification",
+    ])
 
 
 def rank_signals(signals: Column, limit: int) -> Column:
@@ -202,7 +208,7 @@ def with_verdict_details(df: DataFrame) -> DataFrame:
     """Add top_evidence, confidence, signal_counts, indicators, reason_chain, summary,
     recommended_actions and detected_issues."""
     every = F.col("_all")
-    df = df.withColumn("top_evidence", rank_signals(every, 14))
+    df = sealed(df.withColumn("top_evidence", rank_signals(every, 14)), ["top_evidence"])
     top = F.col("top_evidence")
     populated = sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in COMPONENTS), F.lit(0))
     severe = F.size(F.filter(top, lambda s: is_severe(s["severity"])))
