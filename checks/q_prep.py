@@ -1 +1,271 @@
+"""Dataset preparation and model metric queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from checks import sql as S
+from checks.registry import register
+from webrisk import catalogs as K
+from webrisk.operators import calibrate, ml, prep
+from webrisk.operators.url_features import url_features_40
+
+D1 = f"""with {S.LABELED}, d1 as (select * from lu where url is not null
+  qualify row_number() over (partition by url order by source_file, line_no) = 1)"""
+
+
+def deduped(spark, sf):
+    return prep.dedupe_urls(I.labeled_urls(spark, sf))
+
+
+@register("dedupe_urls", D1 + " select url, label, source_dataset, line_no from d1")
+def dedupe(spark, sf):
+    return deduped(spark, sf).select("url", "label", "source_dataset", "line_no")
+
+
+@register("load_summary", f"""with {S.LABELED}
+select source_dataset, source_file, count(distinct url)::bigint as rows, count_if(url is null)::bigint as invalid_rows,
+  (count(url) - count(distinct url))::bigint as duplicate_rows from lu group by all""")
+def load_summary(spark, sf):
+    return prep.load_summary(I.labeled_urls(spark, sf))
+
+
+@register("dataset_quality", f"""with {S.LABELED}, s as (
+select source_file, count(distinct url) as r, count_if(url is null) as i, count(url) - count(distinct url) as d from lu group by all)
+select sum(r)::bigint as total_input_rows, sum(i)::bigint as total_invalid, sum(d)::bigint as total_duplicates from s""")
+def quality(spark, sf):
+    return prep.dataset_quality(prep.load_summary(I.labeled_urls(spark, sf)))
+
+
+HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www[.]', '')"
+D2 = f"""{D1}, d2 as (select *, {HOST} as normalized_domain from d1
+  qualify row_number() over (partition by {HOST} order by label desc, source_dataset, source_file, line_no, url) = 1)"""
+
+
+@register("dedupe_domains", D2 + " select normalized_domain, url, label from d2")
+def domains(spark, sf):
+    return prep.dedupe_domains(deduped(spark, sf)).select("normalized_domain", "url", "label")
+
+
+@register("first_rows_per_source", D1 + " select source_dataset, line_no, url from d1 qualify row_number() over (partition by source_dataset order by source_file, line_no) <= 150")
+def first_rows(spark, sf):
+    return prep.first_rows_per_source(deduped(spark, sf), 150).select("source_dataset", "line_no", "url")
+
+
+@register("first_rows_large", D1 + " select source_dataset, line_no, url from d1 qualify row_number() over (partition by source_dataset order by source_file, line_no) <= 1500")
+def first_rows_large(spark, sf):
+    return prep.first_rows_per_source(deduped(spark, sf), 1500).select("source_dataset", "line_no", "url")
+
+
+H = "md5('42|' || url)"
+
+
+@register("balanced_sample", D1 + f" select source_dataset, label, url from d1 qualify row_number() over (partition by source_dataset, label order by {H}, url) <= 50")
+def balanced(spark, sf):
+    return prep.balanced_sample(deduped(spark, sf), 100).select("source_dataset", "label", "url")
+
+
+@register("train_test_sample", D1 + f""" select source_dataset, label, url, case when r <= 40 then 'train' else 'test' end as split
+from (select *, row_number() over (partition by source_dataset, label order by {H}, url) as r from d1) where r <= 65""")
+def train_test(spark, sf):
+    return prep.train_test_sample(deduped(spark, sf), 80, 50).select("source_dataset", "label", "url", "split")
+
+
+@register("train_test_positional", D1 + """, r as (select *, row_number() over (partition by source_dataset order by source_file, line_no) as r,
+  floor(count(*) over (partition by source_dataset) * (100::double / 150))::bigint as cut from d1)
+select source_dataset, url, case when r <= cut then 'train' else 'test' end as split from r where r <= cut + 50""")
+def positional(spark, sf):
+    return prep.train_test_sample(deduped(spark, sf), 100, 50, balance=False).select("source_dataset", "url", "split")
+
+
+D6 = f"""{D2}, d6 as (select *, row_number() over (partition by label order by {H}, url) as rk, count(*) over (partition by label) as n from d2),
+d7 as (select *, case when rk <= floor(n * 0.7::double + 0.5) then 'train' when rk <= floor(n * 0.7::double + 0.5) + floor(n * 0.15::double + 0.5) then 'validation' else 'test' end as split from d6)"""
+
+
+def split(spark, sf):
+    return prep.stratified_split(prep.dedupe_domains(deduped(spark, sf)))
+
+
+@register("stratified_split", D6 + " select url, label, split from d7")
+def stratified(spark, sf):
+    return split(spark, sf).select("url", "label", "split")
+
+
+D8 = f"""{D6}, ct as (select count_if(label = 1) as p, count_if(label = 0) as b from d7 where split = 'train'),
+d8 as (select d7.* from d7, ct where split <> 'train' or
+  case when b > floor(p * (1 - 0.6::double) / 0.6::double) then label = 1 or rk <= floor(p * (1 - 0.6::double) / 0.6::double)
+    else label = 0 or rk <= floor(b * 0.6::double / (1 - 0.6::double)) end)"""
+
+
+@register("balance_training", D8 + " select url, label, split from d8")
+def balance(spark, sf):
+    return prep.balance_training(split(spark, sf)).select("url", "label", "split")
+
+
+@register("split_overlap", f"""{D1}, s as (select *, {HOST} as normalized_domain, case when line_no % 9 = 0 then 'test' else 'train' end as split from d1)
+select normalized_domain from s group by 1 having count(distinct split) > 1""")
+def overlap(spark, sf):
+    from webrisk.functions.urls import normalize_domain
+
+    df = deduped(spark, sf).withColumns({
+        "normalized_domain": normalize_domain(F.col("url")),
+        "split": F.when(F.col("line_no") % 9 == 0, "test").otherwise("train")})
+    return prep.split_overlap(df)
+
+
+@register("dataset_statistics", D8 + """
+select count(*)::bigint as total_samples, count_if(label = 1)::bigint as phishing_count, count_if(label = 0)::bigint as benign_count,
+  round(count_if(label = 1) / count(*), 6) as phishing_share, round(count_if(label = 0) / count(*), 6) as benign_share,
+  round(avg(length(url)), 6) as url_length_mean, round(stddev_samp(length(url)), 6) as url_length_std,
+  min(length(url))::double as url_length_min, max(length(url))::double as url_length_max,
+  round(count_if(starts_with(url, 'https://')) / count(*), 6) as https_share,
+  count_if(split = 'train')::bigint as train_size, count_if(split = 'validation')::bigint as validation_size, count_if(split = 'test')::bigint as test_size,
+  round(count_if(split = 'train' and label = 1) / count_if(split = 'train'), 6) as train_phishing_share,
+  round(count_if(split = 'validation' and label = 1) / count_if(split = 'validation'), 6) as validation_phishing_share,
+  round(count_if(split = 'test' and label = 1) / count_if(split = 'test'), 6) as test_phishing_share from d8""")
+def statistics(spark, sf):
+    df = prep.dataset_statistics(prep.balance_training(split(spark, sf)))
+    return df.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+
+
+D10 = D8.replace(D1, f"with {S.LABELED}, d1 as (select * from lu where url is not null)")
+
+
+@register("prepare_dataset", D10 + " select url, label, split from d8")
+def prepare(spark, sf):
+    df = I.labeled_urls(spark, sf).filter("url is not null")
+    out = prep.prepare_dataset(df.filter("label = 1").drop("label"), df.filter("label = 0").drop("label"))
+    return out.select("url", "label", "split")
+
+
+@register("frame_stats", f"with {S.LABELED} select source_dataset, count(*)::bigint as rows, count_if(label = 0)::bigint as benign_0, count_if(label = 1)::bigint as phishing_1 from lu group by 1")
+def frame_stats(spark, sf):
+    return prep.frame_stats(I.labeled_urls(spark, sf))
+
+
+@register("combine_datasets", f"""with {S.LABELED}, c as (select *, label as part from lu)
+select url, label from c where url is not null qualify row_number() over (partition by url order by 1 - label, source_file, line_no) = 1""")
+def combine(spark, sf):
+    df = I.labeled_urls(spark, sf).filter("url is not null")
+    return prep.combine_datasets(df.filter("label = 1"), df.filter("label = 0")).select("url", "label")
+
+
+# -- model metrics -----------------------------------------------------------
+
+@register("roc_auc", f"""with {S.PROBS}, r as (select label, (rank() over (order by p) + rank() over (order by p) + count(*) over (partition by p) - 1) / 2.0 as rk from pr)
+select round((sum(rk) filter (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0) / (count_if(label = 1)::double * count_if(label = 0)), 6) as auc_roc from r""")
+def auc(spark, sf):
+    return ml.roc_auc(I.probabilities(spark, sf)).select(F.round("auc_roc", 6).alias("auc_roc"))
+
+
+@register("average_precision", f"""with {S.PROBS}, c as (select p, count_if(label = 1) as pos, count(*) as n from pr group by p),
+k as (select *, sum(pos) over (order by p desc) as tp, sum(n) over (order by p desc) as seen, sum(pos) over () as allp from c)
+select round(sum(pos::double / allp * (tp::double / seen)), 6) as average_precision from k""")
+def ap(spark, sf):
+    return ml.average_precision(I.probabilities(spark, sf)).select(
+        F.round("average_precision", 6).alias("average_precision"))
+
+
+R6 = (lambda v: f"round({v}, 6)")
+
+
+@register("model_metrics", f"""with {S.PROBS}, c as (select count_if(label = 1 and predicted = 1)::bigint as tp, count_if(label = 0 and predicted = 1)::bigint as fp,
+  count_if(label = 0 and predicted = 0)::bigint as tn, count_if(label = 1 and predicted = 0)::bigint as fn from pr) select tp, fp, tn, fn, {S.rate_columns(R6)} from c""")
+def metrics(spark, sf):
+    df = ml.model_metrics(I.probabilities(spark, sf))
+    return df.select("tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in (
+        "accuracy", "precision", "recall", "f1_score", "false_positive_rate", "false_negative_rate")])
+
+
+@register("probability_sweep", f"""with {S.PROBS}, c as (select t as threshold, count_if(label = 1 and p >= t)::bigint as tp, count_if(label = 0 and p >= t)::bigint as fp,
+  count_if(label = 0 and p < t)::bigint as tn, count_if(label = 1 and p < t)::bigint as fn
+  from pr, unnest([0.1::double, 0.2::double, 0.3::double, 0.4::double, 0.5::double, 0.6::double, 0.7::double, 0.8::double, 0.9::double]) g(t) group by t)
+select threshold, tp, fp, tn, fn, {S.rate_columns(R6)} from c""")
+def prob_sweep(spark, sf):
+    df = ml.probability_sweep(I.probabilities(spark, sf))
+    return df.select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in (
+        "accuracy", "precision", "recall", "f1_score", "false_positive_rate", "false_negative_rate")])
+
+
+@register("classification_report", f"""with {S.PROBS} select c as class,
+  round(count_if(label = c and predicted = c)::double / count_if(predicted = c), 6) as precision, round(count_if(label = c and predicted = c)::double / count_if(label = c), 6) as recall,
+  round(2.0 * count_if(label = c and predicted = c) / (count_if(predicted = c) + count_if(label = c)), 6)::double as f1_score, count_if(label = c)::bigint as support
+from pr, unnest([0, 1]) k(c) group by c""")
+def class_report(spark, sf):
+    df = ml.classification_report(I.probabilities(spark, sf))
+    return df.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")])
+
+
+@register("calibration_error", f"""with {S.PROBS}, b as (select least(floor(p * 10), 9) as bin, count(*) as n, avg(p) as m, avg(label) as o from pr group by 1)
+select round(sum(n * abs(m - o)) / sum(n), 6) as ece from b""")
+def ece(spark, sf):
+    return calibrate.calibration_error(I.probabilities(spark, sf), "phishing_probability").select(
+        F.round("ece", 6).alias("ece"))
+
+
+@register("stratified_folds", D1 + f" select label, (r - 1) % 5 as fold, count(*)::bigint as n from (select label, row_number() over (partition by label order by {H}, url) as r from d1) group by all")
+def folds(spark, sf):
+    return ml.with_folds(deduped(spark, sf)).groupBy("label", F.col("fold").cast("long").alias("fold")).agg(
+        F.count("*").alias("n"))
+
+
+@register("class_weights", D1 + " select label, round(any_value(n / (2.0::double * case when label = 1 then p else n - p end)), 6) as weight from d1, (select count(*) as n, count_if(label = 1) as p from d1) group by label")
+def weights(spark, sf):
+    return ml.balanced_weights(deduped(spark, sf)).groupBy("label").agg(F.round(F.first("weight"), 6).alias("weight"))
+
+
+def training_table(spark, sf):
+    """40 features of the event URLs with their labels."""
+    return url_features_40(deduped(spark, sf).select("url", "label"))
+
+
+# constant or duplicate columns carry no information for a small model
+FEATURES = ["url_length", "url_digit_ratio", "url_entropy", "uses_https", "domain_length", "path_entropy", "host_dot_count"]
+
+
+@register("standardized_features", D1 + """, s as (select avg(length(url)) as m, stddev_samp(length(url)) as sd from d1)
+select url, round((length(url) - m) / sd, 6) as z_url_length from d1, s""")
+def standardize(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    df = url_features_40(deduped(spark, sf).select("url"))
+    model = Pipeline(stages=[ml.assembler(["url_length"]), ml.scaler()]).fit(df)
+    return model.transform(df).select(
+        "url", F.round(vector_to_array("features")[0], 6).alias("z_url_length"))
+
+
+@register("logistic_baseline")
+def logistic(spark, sf):
+    rows = ml.balanced_weights(ml.stratified_halves(training_table(spark, sf)))
+    model = ml.logistic_pipeline(FEATURES, weight="weight").fit(rows.filter("split = 'train'"))
+    return ml.model_metrics(ml.predict(model, rows.filter("split = 'test'")))
+
+
+@register("random_forest")
+def forest(spark, sf):
+    rows = ml.stratified_halves(training_table(spark, sf))
+    model = ml.forest_pipeline(FEATURES, trees=20, depth=8).fit(rows.filter("split = 'train'"))
+    return ml.model_metrics(ml.predict(model, rows.filter("split = 'test'")))
+
+
+@register("forest_importance")
+def importance(spark, sf):
+    rows = training_table(spark, sf)
+    model = ml.forest_pipeline(list(K.FEATURES40), trees=10, depth=5).fit(rows)
+    return ml.feature_importance(spark, model, K.FEATURES40)
+
+
+@register("platt_calibration")
+def platt(spark, sf):
+    df = I.probabilities(spark, sf)
+    fitted = calibrate.fit_calibrator(df, "platt", "phishing_probability")
+    return calibrate.calibration_error(fitted.transform(df, "phishing_probability"))
+
+
+@register("isotonic_calibration")
+def isotonic(spark, sf):
+    df = I.probabilities(spark, sf)
+    fitted = calibrate.fit_calibrator(df, "isotonic", "phishing_probability")
+    return calibrate.calibration_error(fitted.transform(df, "phishing_probability"))

@@ -1 +1,59 @@
+"""Streaming jobs, run over the driver tables as a file stream until it is drained."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from checks import sql as S
+from checks.registry import register
+from webrisk.streaming import jobs
+
+
+def _stream(spark, sf, name):
+    schema = I.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _drain(spark, df, mode):
+    name = f"out_{uuid.uuid4().hex[:12]}"
+    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def _scan_stream(spark, sf):
+    e = _stream(spark, sf, "events")
+    score = F.least(F.lit(100), F.floor("value")).cast("int")
+    return e.select(
+        "user_id", score.alias("risk_score"),
+        F.when(score < 25, "Safe").when(score < 50, "Suspicious").when(score < 75, "Dangerous")
+        .otherwise("Critical").alias("classification"))
+
+
+@register("stream_breakdown", f"with {S.SCANS} select user_id, classification, count(*)::bigint as count, {S.half_even('avg(risk_score)', 2)} as avg_risk_score from sc group by all")
+def stream_breakdown(spark, sf):
+    return _drain(spark, jobs.running_breakdown(_scan_stream(spark, sf)), "complete")
+
+
+@register("stream_first_lookups", "select distinct user_id as url from events")
+def stream_lookups(spark, sf):
+    e = _stream(spark, sf, "events").select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    return _drain(spark, jobs.first_lookups(e), "append").select("url")
+
+
+@register("stream_scores")
+def stream_scores(spark, sf):
+    import tempfile
+
+    from webrisk.plans.score import ScoreOptions
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    run = f"{root}/scores-{uuid.uuid4().hex[:12]}"
+    pages = _stream(spark, sf, "pages").withColumns({
+        "user_id": F.col("page_id") % 7, "ts": F.lit("2024-01-01").cast("timestamp")})
+    query = jobs.score_stream(pages, f"{run}/history", f"{run}/checkpoint", options=ScoreOptions())
+    query.awaitTermination()
+    return spark.read.parquet(f"{run}/history").select("id", "user_id", "risk_score", "classification")

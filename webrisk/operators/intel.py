@@ -190,7 +190,7 @@ def lookup_cached(
     forward; the slot before contributes a single pre-aggregated row. No pairs are
     formed, and a hot key spreads over its slots.
     """
-    micros = F.unix_micros(F.col(ts))
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = ttl_seconds * 1_000_000
     hit = F.struct(micros.alias("at"), *[F.col(v) for v in value])
     r = results.select(
