@@ -8,6 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# every character Python's str.strip() removes
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -68,7 +75,7 @@ def clamp(value: Column, low, high) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all leading and trailing white space."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def count_of(text: Column, needle: str) -> Column:

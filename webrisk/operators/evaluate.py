@@ -143,14 +143,14 @@ def score_bins(records: DataFrame, bins: int = 24) -> DataFrame:
     """Histogram of scores by label over equal bins between the smallest and largest score."""
     counts = records.filter(F.col("risk_score").isNotNull()).groupBy("true_label", "risk_score").agg(
         F.count("*").alias("n"))
-    edges = counts.agg(F.min("risk_score").alias("lo"), F.max("risk_score").alias("hi"))
-    # the right side is one row; the left at most a few hundred
-    joined = counts.join(F.broadcast(edges), F.lit(True))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    # at most a few hundred rows from here on
+    lo = counts.agg(F.min("risk_score")).scalar()
+    hi = counts.agg(F.max("risk_score")).scalar()
+    width = (hi - lo) / F.lit(float(bins))
     slot = F.when(width > 0, F.least(
-        F.floor((F.col("risk_score") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)
+        F.floor((F.col("risk_score") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)
     )).otherwise(0)
-    return joined.withColumn("bin", slot.cast("int")).groupBy("true_label", "bin").agg(
+    return counts.withColumn("bin", slot.cast("int")).groupBy("true_label", "bin").agg(
         F.sum("n").alias("n"))
 
 

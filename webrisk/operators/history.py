@@ -60,9 +60,10 @@ def class_breakdown(history: DataFrame, user_id: int | None = None) -> DataFrame
 
 
 def dashboard(history: DataFrame, user_id: int, recent: int = 5) -> DataFrame:
-    """One row: class breakdown, last scans and total of a user, in one pass over their scans.
+    """One row: class breakdown, last scans and total of a user.
 
-    The last scans are kept as a bounded top list, so nothing unbounded is collected.
+    The breakdown has four classes and the last scans are a bounded top list, so nothing
+    unbounded is collected.
     """
     mine = history.filter(F.col("user_id") == user_id)
     breakdown = class_breakdown(history, user_id).agg(
@@ -72,10 +73,8 @@ def dashboard(history: DataFrame, user_id: int, recent: int = 5) -> DataFrame:
     )
     last = recent_scans(mine, user_id, recent).agg(
         F.reverse(F.array_sort(F.collect_list(F.struct(
-            "created_at", "id", "url", "scan_type", "risk_score", "classification", "confidence")))
-        ).alias("recent_scans"))
-    # both sides are exactly one row
-    return breakdown.join(F.broadcast(last), F.lit(True))
+            "created_at", "id", "url", "scan_type", "risk_score", "classification", "confidence")))))
+    return breakdown.withColumn("recent_scans", last.scalar())
 
 
 def to_delete(history: DataFrame, user_id: int, ids: Iterable[int] | None = None) -> Column:

@@ -112,27 +112,32 @@ def provider_findings(payloads: DataFrame) -> DataFrame:
 
     A row with an ``error`` text gives an error finding that contributes no score.
     """
-    ip = F.col("ip") if "ip" in payloads.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    ip = F.col("ip") if "ip" in payloads.columns else none
+    error = F.col("error") if "error" in payloads.columns else none
     finding, issue = None, None
-    for name, (f, i) in {
-        "virustotal": virustotal(F.col("payload")),
-        "urlscan": urlscan(F.col("payload")),
-        "abuseipdb": abuseipdb(F.col("payload"), ip),
-    }.items():
+    for name in PROVIDERS:
+        f, i = parse_payload(name, F.col("payload"), ip, error)
         mine = F.col("provider") == name
         finding = F.when(mine, f) if finding is None else finding.when(mine, f)
         issue = F.when(mine, i) if issue is None else issue.when(mine, i)
-    if "error" in payloads.columns:
-        failed = F.col("error").isNotNull()
-        error = F.struct(
-            F.col("provider").alias("provider"), F.lit(0).alias("score"), F.lit(0.2).alias("confidence"),
-            F.concat(F.col("provider"), F.lit(" lookup failed: "), F.col("error")).alias("summary"),
-            F.lit("error").alias("verdict")).cast(FINDING_DDL)
-        finding = F.when(failed, error).otherwise(finding)
-        issue = F.when(~failed, issue)
     return payloads.withColumns({"finding": finding, "issue": issue})
 
 
+def parse_payload(provider: str, payload: Column, ip: Column, error: Column) -> tuple[Column, Column]:
+    """Finding and issue of one payload of a known provider."""
+    finding, issue = {
+        "virustotal": lambda: virustotal(payload),
+        "urlscan": lambda: urlscan(payload),
+        "abuseipdb": lambda: abuseipdb(payload, ip),
+    }[provider]()
+    failed = F.struct(
+        F.lit(provider).alias("provider"), F.lit(0).alias("score"), F.lit(0.2).alias("confidence"),
+        F.concat(F.lit(f"{provider} lookup failed: "), error).alias("summary"),
+        F.lit("error").alias("verdict")).cast(FINDING_DDL)
+    return F.when(error.isNotNull(), failed).otherwise(finding), F.when(error.isNull(), issue)
+
+
 def intel_score(findings: Column) -> Column:
     """Strongest active score, plus 8 for each further provider at 45 or more."""
     scores = F.transform(
@@ -156,19 +161,30 @@ def intel_results(payloads: DataFrame, keys: list[str] | None = None, ts: str =
     """One row per key: the latest finding of each provider, fused.
 
     The providers are a fixed short list, so the result is a fixed set of ``max_by``
-    aggregates that combine before the shuffle; no finding list is ever collected.
+    aggregates that combine before the shuffle; no finding list is ever collected, and
+    only the surviving payloads are parsed.
     """
     keys = keys or ["url"]
-    rows = provider_findings(payloads).withColumn("_r", F.struct("finding", "issue"))
-    latest = rows.groupBy(*keys).agg(*[
+    none = F.lit(None).cast("string")
+    raw = F.struct(
+        F.col("payload").alias("payload"),
+        (F.col("ip") if "ip" in payloads.columns else none).alias("ip"),
+        (F.col("error") if "error" in payloads.columns else none).alias("error"),
+    )
+    latest = payloads.groupBy(*keys).agg(*[
         F.max_by(
-            F.when(F.col("provider") == p, F.col("_r")),
+            F.when(F.col("provider") == p, raw),
             F.when(F.col("provider") == p, F.struct(F.col(ts), F.col("payload"))),
         ).alias(f"_{p}")
         for p in PROVIDERS
     ], F.max(ts).alias("intel_ts"))
-    found = F.array_compact(F.array(*[F.col(f"_{p}") for p in PROVIDERS]))
-    latest = latest.withColumn("_found", found)
+
+    def parsed(provider: str) -> Column:
+        r = F.col(f"_{provider}")
+        finding, issue = parse_payload(provider, r["payload"], r["ip"], r["error"])
+        return F.when(r.isNotNull(), F.struct(finding.alias("finding"), issue.alias("issue")))
+
+    latest = latest.withColumn("_found", F.array_compact(F.array(*[parsed(p) for p in PROVIDERS])))
     latest = latest.withColumns({
         "intel_findings": F.transform("_found", lambda r: r["finding"]),
         "intel_issues": F.array_compact(F.transform("_found", lambda r: r["issue"])).cast(ISSUES_DDL),

@@ -35,7 +35,9 @@ def group_rank(
     """Exact 1-based rank within ``keys`` in the order (bucket, *order).
 
     One shuffle on (keys, bucket) serves the counts and the ranks; the per-bucket
-    offsets are at most 4096 small rows per group. Also adds ``group_size``.
+    offsets are at most 4096 small rows per group. Also adds ``group_size``. With hash
+    buckets the rows should be unique by the hashed value (deduplicate first): copies
+    share a hash and therefore a bucket.
     """
     rows = df.withColumn("_bucket", bucket)
     rows = rows.repartition(*keys, "_bucket")
@@ -177,19 +179,18 @@ def balance_training(df: DataFrame, ratio: float = 0.6) -> DataFrame:
     Expects the output of :func:`stratified_split`; other splits keep their imbalance.
     The rank within a label is also the rank within its train rows, so the cut is a filter.
     """
-    counts = df.filter(F.col("split") == "train").agg(
-        F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_b"))
-    target_b = F.floor(F.col("_p") * F.lit(1 - ratio) / F.lit(ratio))
-    target_p = F.floor(F.col("_b") * F.lit(ratio) / F.lit(1 - ratio))
-    too_many_b = F.col("_b") > target_b
+    train = df.filter(F.col("split") == "train")
+    p = train.agg(F.count_if(F.col("label") == 1)).scalar()
+    b = train.agg(F.count_if(F.col("label") == 0)).scalar()
+    target_b = F.floor(p * F.lit(1 - ratio) / F.lit(ratio))
+    target_p = F.floor(b * F.lit(ratio) / F.lit(1 - ratio))
+    too_many_b = b > target_b
     limit = (
         F.when(too_many_b & (F.col("label") == 0), target_b)
         .when(~too_many_b & (F.col("label") == 1), target_p)
     )
-    # the right side is one row by construction
-    joined = df.join(F.broadcast(counts), F.lit(True))
     keep = (F.col("split") != "train") | limit.isNull() | (F.col("rank_in_group") <= limit)
-    return joined.filter(keep).drop("_p", "_b")
+    return df.filter(keep)
 
 
 def split_overlap(df: DataFrame, key: str = "normalized_domain") -> DataFrame:

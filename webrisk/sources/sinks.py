@@ -31,9 +31,9 @@ def evaluation_report(
     from webrisk.operators import evaluate as E
     from webrisk.operators.prep import frame_stats
 
-    def rows(df: DataFrame, name: str) -> DataFrame:
+    def rows(df: DataFrame, name: str):
         # only small aggregates and limited previews are gathered here
-        return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        return df.agg(F.collect_list(F.struct(*df.columns))).scalar().alias(name)
 
     parts = [
         rows(frame_stats(frame), "dataset_overview"),
@@ -43,9 +43,7 @@ def evaluation_report(
         rows(E.preview(E.false_positives(records, threshold), ["url"], previews), "false_positive_samples"),
         rows(E.preview(E.false_negatives(records, threshold), ["url"], previews), "false_negative_samples"),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.join(F.broadcast(part), F.lit(True))  # one row each
+    report = records.sparkSession.range(1).select(*parts)
     return report.select(F.to_json(F.struct(*report.columns)).alias("value"))
 
 
@@ -62,8 +60,9 @@ def write_evaluation(
     write_csv(E.threshold_sweep(records, thresholds), f"{root}/threshold_metrics")
     write_csv(E.false_positives(records, threshold), f"{root}/false_positives")
     write_csv(E.false_negatives(records, threshold), f"{root}/false_negatives")
-    summary = E.metrics_at_threshold(records, threshold).join(
-        F.broadcast(E.run_summary(records)), F.lit(True))
+    run = E.run_summary(records)
+    summary = E.metrics_at_threshold(records, threshold).withColumn(
+        "_run", run.select(F.struct(*run.columns)).scalar()).select("*", "_run.*").drop("_run")
     write_csv(summary, f"{root}/evaluation_summary")
     evaluation_report(records, frame, threshold, thresholds).write.mode("overwrite").text(
         f"{root}/evaluation_report")
