@@ -79,19 +79,19 @@ def strip(text: Column) -> Column:
 
 
 def count_of(text: Column, needle: str) -> Column:
-    """Number of occurrences of a one-character needle."""
-    return F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
+    """Number of occurrences of a one-character ASCII needle (byte lengths are free to read)."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
 
 
 def count_text(text: Column, needle: str) -> Column:
     """Number of non-overlapping occurrences of a fixed text."""
-    rest = F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return ((F.length(text) - rest) / F.lit(len(needle))).cast("int")
+    rest = F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
+    return ((F.octet_length(text) - rest) / F.lit(len(needle.encode()))).cast("int")
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    """Number of characters of ``text`` that belong to ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Number of characters of ``text`` that belong to the ASCII set ``chars``."""
+    return F.octet_length(text) - F.octet_length(F.translate(text, chars, ""))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

@@ -70,10 +70,7 @@ def _form_summary(elements: Column) -> Column:
 def with_dom_facts(df: DataFrame) -> DataFrame:
     """Counts and form summaries the DOM rules decide on."""
     elements = F.coalesce(F.col("elements"), F.array().cast(df.schema["elements"].dataType))
-    df = df.withColumns({
-        "_elements": elements, "_dom_lower": F.lower(F.coalesce(F.col("dom_text"), F.lit(""))),
-    })
-    elements = F.col("_elements")
+    df = df.withColumn("_dom_lower", F.lower(F.coalesce(F.col("dom_text"), F.lit(""))))
     df = df.withColumns({
         "_forms": _form_summary(elements),
         "_iframes": F.transform(
@@ -184,6 +181,10 @@ def with_dom_signals(df: DataFrame) -> DataFrame:
     found = F.concat(per_form, fired(rules))
     return df.withColumn(
         "dom_signals", F.when(F.col("has_html"), found).otherwise(F.array().cast(SIGNALS_DDL))
+    ).drop(
+        "_dom_lower", "_forms", "_iframes", "_refresh", "_scripts", "_hidden_elements", "_modals",
+        "_brand_mentions", "_credential_forms", "_hidden_passwords", "has_html",
+        *[f"src_{code}" for code in K.SCRIPT_PATTERNS],
     )
 
 

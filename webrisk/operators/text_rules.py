@@ -27,13 +27,34 @@ def _matches(text: Column, pattern: str) -> Column:
         F.array().cast("array<string>"))
 
 
-def with_content_signals(df: DataFrame, text: str) -> DataFrame:
-    """Add ``content_signals``: six phrase rules and the formatting rule."""
+def phrase_gate(text: Column) -> Column:
+    """False when no phrase of the content rules or of the text score can match.
+
+    Both rule sets share most phrases; testing their literals once spares almost every
+    text the per-rule searches.
+    """
+    patterns = [r[4] for r in K.CONTENT_RULES.values()] + [r[0] for r in K.TEXT_SCORE_RULES.values()]
+    literals = list(dict.fromkeys(a for p in patterns for a in T.anchors(p)))
+    # a literal that contains another one adds nothing
+    shortest = [a for a in literals if not any(b != a and b in a for b in literals)]
+    return T.contains_any(text, shortest)
+
+
+def with_content_signals(df: DataFrame, text: str, gate: str | None = None) -> DataFrame:
+    """Add ``content_signals``: six phrase rules and the formatting rule.
+
+    ``gate`` names a column with :func:`phrase_gate` of the text; computed here if absent.
+    """
     df = df.withColumn("_lowered", F.lower(F.coalesce(F.col(text), F.lit(""))))
     lowered = F.col("_lowered")
+    if gate is None:
+        gate = "_gate_content"
+        df = df.withColumn(gate, phrase_gate(lowered))
+    none = F.array().cast("array<string>")
     df = df.withColumns({
-        f"_m_{code}": _matches(lowered, r[4]) for code, r in K.CONTENT_RULES.items()
-    })
+        f"_m_{code}": F.when(F.col(gate), _matches(lowered, r[4])).otherwise(none)
+        for code, r in K.CONTENT_RULES.items()
+    }).drop("_gate_content")
     df = df.withColumns({
         "_bangs": T.count_of(lowered, "!"),
         "_upper_ratio": T.uppercase_ratio(F.coalesce(F.col(text), F.lit(""))),
@@ -74,7 +95,8 @@ def content_evidence(df: DataFrame, keys: list[str], text: str = "text") -> Data
 
 
 def with_text_score(
-    df: DataFrame, text: str, model_score: str | None = None, model_confidence: str | None = None
+    df: DataFrame, text: str, model_score: str | None = None, model_confidence: str | None = None,
+    gate: str | None = None,
 ) -> DataFrame:
     """Add text_score, text_confidence, text_mode, text_sub_scores (map) and text_issues.
 
@@ -84,8 +106,12 @@ def with_text_score(
         "_t_raw": F.coalesce(F.col(text), F.lit("")),
     }).withColumn("_t_lower", F.lower(F.col("_t_raw")))
     lowered = F.col("_t_lower")
+    if gate is None:
+        gate = "_gate_score"
+        df = df.withColumn(gate, phrase_gate(lowered))
     df = df.withColumns({
-        f"_h_{key}": T.pattern_hits(lowered, rule[0]) for key, rule in K.TEXT_SCORE_RULES.items()
+        f"_h_{key}": F.when(F.col(gate), T.pattern_hits(lowered, rule[0])).otherwise(F.lit(0))
+        for key, rule in K.TEXT_SCORE_RULES.items()
     } | {
         "_h_pressure": F.when(T.count_of(lowered, "!") >= 6, 5).otherwise(0)
         + F.when(T.all_caps_tokens(F.col("_t_raw")) >= 3, 6).otherwise(0),
@@ -134,7 +160,7 @@ def with_text_score(
             T.py_round(T.clamp(confidence, 0.1, 0.99), 2)),
         "text_mode": F.when(blank, F.lit("empty")).otherwise(mode),
     })
-    drop = ["_t_raw", "_t_lower", "_t_blank", "_h_pressure"] + [f"_h_{k}" for k in K.TEXT_SCORE_RULES]
+    drop = ["_gate_score", "_t_raw", "_t_lower", "_t_blank", "_h_pressure"] + [f"_h_{k}" for k in K.TEXT_SCORE_RULES]
     return df.drop(*drop)
 
 

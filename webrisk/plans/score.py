@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
-from webrisk.functions import urls as U
 from webrisk.operators import dom_rules, evidence as E, html as H, page_features as P
 from webrisk.operators import patterns, text_rules, timeline, url_rules, verdict
 from webrisk.operators.interaction import EVENTS_DDL
 from webrisk.operators.signals import SIGNALS_DDL, no_signals
 
+H_ELEMENTS = f"array<{H.ELEMENT.simpleString()}>"
 FINDINGS_DDL = (
     "array<struct<provider:string,score:int,confidence:double,summary:string,verdict:string>>"
 )
@@ -49,10 +49,6 @@ class ScoreOptions:
     with_explanation: bool = True
 
 
-def _maybe(df: DataFrame, name: str, default: Column) -> DataFrame:
-    return df if name in df.columns else df.withColumn(name, default)
-
-
 def score_pages(
     pages: DataFrame,
     keys: list[str] | None = None,
@@ -76,10 +72,11 @@ def score_pages(
     """
     o = options or ScoreOptions()
     keys = keys or ["page_id"]
-    df = pages
-    df = _maybe(df, "html", F.lit(None).cast("string"))
-    df = _maybe(df, "page_text", F.lit(None).cast("string"))
-    df = _maybe(df, "redirect_chain", F.array().cast("array<string>"))
+    missing = {
+        "html": F.lit(None).cast("string"), "page_text": F.lit(None).cast("string"),
+        "redirect_chain": F.array().cast("array<string>"),
+    }
+    df = pages.withColumns({c: v for c, v in missing.items() if c not in pages.columns})
     optional = [c for c in (
         "domain_created", "domain_expires", "url_probability_in", "text_model_score",
         "text_model_confidence", "fetch_error") if c in df.columns]
@@ -90,10 +87,6 @@ def score_pages(
         df = df.join(
             findings.select("url", "intel_score", "intel_confidence", "intel_findings", "intel_issues"),
             "url", "left")
-    df = _maybe(df, "intel_findings", F.array().cast(FINDINGS_DDL))
-    df = _maybe(df, "intel_issues", F.array().cast(text_rules.ISSUES_DDL))
-    df = _maybe(df, "intel_score", F.lit(0))
-    df = _maybe(df, "intel_confidence", F.lit(o.intel_confidence_default))
     if interactions is not None:
         df = df.join(
             interactions.select(*keys, "interaction_events", "interaction_signals"), keys, "left")
@@ -101,12 +94,15 @@ def score_pages(
             "interaction_events": F.coalesce("interaction_events", F.array().cast(EVENTS_DDL)),
             "interaction_signals": F.coalesce("interaction_signals", no_signals()),
         })
+    defaults = {
+        "intel_findings": F.array().cast(FINDINGS_DDL),
+        "intel_issues": F.array().cast(text_rules.ISSUES_DDL),
+        "intel_score": F.lit(0), "intel_confidence": F.lit(o.intel_confidence_default),
+        "redirect_chain": F.array().cast("array<string>"),
+    }
     df = df.withColumns({
-        "intel_findings": F.coalesce("intel_findings", F.array().cast(FINDINGS_DDL)),
-        "intel_issues": F.coalesce("intel_issues", F.array().cast(text_rules.ISSUES_DDL)),
-        "intel_score": F.coalesce("intel_score", F.lit(0)),
-        "intel_confidence": F.coalesce("intel_confidence", F.lit(o.intel_confidence_default)),
-        "redirect_chain": F.coalesce("redirect_chain", F.array().cast("array<string>")),
+        name: F.coalesce(name, value) if name in df.columns else value
+        for name, value in defaults.items()
     })
 
     df = dom_rules.source_flags(df)
@@ -124,12 +120,38 @@ def score_pages(
     if o.excerpt_chars is not None:
         spoken = F.substring(spoken, 1, o.excerpt_chars)
     df = df.withColumn("_spoken", F.when(given != "", given).otherwise(spoken))
-    df = text_rules.with_content_signals(df, "_text")
-    df = E.with_context_flags(E.with_domain_trust(df), "_text")
-    df = E.suppress(df)
+    # everything that reads tags or texts comes first; afterwards rows are small
+    df = _url_features(df, optional, "elements" if o.model_sees_page else None)
+    df = df.drop("elements", "dom_text").withColumn(
+        "_gate", text_rules.phrase_gate(F.lower("_text")))
+    df = text_rules.with_content_signals(df, "_text", "_gate")
+    df = E.with_context_flags(df, "_text")
+    df = _text_score(df, optional)
+    df = E.suppress(E.with_domain_trust(df))
     return _finish(df, keys, o, optional, started_at, has_url=True)
 
 
+def _url_features(df: DataFrame, optional: list[str], elements: str | None) -> DataFrame:
+    if elements is None:
+        elements = "_no_elements"
+        df = df.withColumn(elements, F.array().cast(H_ELEMENTS))
+    return P.with_page_features(
+        df,
+        "domain_created" if "domain_created" in optional else None,
+        "domain_expires" if "domain_expires" in optional else None,
+        elements=elements,
+    )
+
+
+def _text_score(df: DataFrame, optional: list[str]) -> DataFrame:
+    return text_rules.with_text_score(
+        df, "_spoken",
+        "text_model_score" if "text_model_score" in optional else None,
+        "text_model_confidence" if "text_model_confidence" in optional else None,
+        "_gate" if "_gate" in df.columns else None,
+    ).drop("_text", "_spoken", "_gate")
+
+
 def score_texts(
     texts: DataFrame, keys: list[str], text: str = "text", options: ScoreOptions | None = None,
     started_at: Column | None = None,
@@ -148,7 +170,8 @@ def score_texts(
     })
     df = url_rules.with_url_signals(url_rules.with_url_context(df))
     df = text_rules.with_content_signals(df, "_text")
-    df = E.suppress(E.with_context_flags(E.with_domain_trust(df), "_text"))
+    df = _text_score(E.with_context_flags(df, "_text"), [])
+    df = E.suppress(E.with_domain_trust(df))
     return _finish(df, keys, o, [], started_at, has_url=False)
 
 
@@ -159,23 +182,7 @@ def _finish(
     if "interaction_signals" in df.columns:
         df = df.withColumn(
             "dom_signals", E.append_new_codes(F.col("dom_signals"), F.col("interaction_signals")))
-    df = text_rules.with_text_score(
-        df, "_spoken",
-        "text_model_score" if "text_model_score" in optional else None,
-        "text_model_confidence" if "text_model_confidence" in optional else None,
-    )
     if has_url:
-        df = P.with_page_features(
-            df,
-            "domain_created" if "domain_created" in optional else None,
-            "domain_expires" if "domain_expires" in optional else None,
-            elements="elements" if o.model_sees_page else "_no_elements",
-        ) if o.model_sees_page else P.with_page_features(
-            df.withColumn("_no_elements", F.array().cast(df.schema["elements"].dataType)),
-            "domain_created" if "domain_created" in optional else None,
-            "domain_expires" if "domain_expires" in optional else None,
-            elements="_no_elements",
-        )
         df = P.with_url_score(
             df, "url_probability_in" if "url_probability_in" in optional else None)
         df = E.calibrate_url_score(df)
@@ -251,17 +258,14 @@ def score_urls(urls: DataFrame, keys: list[str], options: ScoreOptions | None =
         "intel_score": F.lit(0), "intel_confidence": F.lit(o.intel_confidence_default),
         "dom_signals": no_signals(), "content_signals": no_signals(),
         "analytics_context": F.lit(False),
-        "elements": F.array().cast(H_ELEMENTS),
     })
     df = P.without_page(df)
     df = url_rules.with_url_signals(url_rules.with_url_context(df))
-    df = E.suppress(E.with_context_flags(E.with_domain_trust(df), "_text"))
+    df = _url_features(df, [], None)
+    df = _text_score(E.with_context_flags(df, "_text"), [])
+    df = E.suppress(E.with_domain_trust(df))
     return _finish(df, keys, o, [], None, has_url=True)
 
-
-H_ELEMENTS = f"array<{H.ELEMENT.simpleString()}>"
-
-
 def threat_report(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One nested report document per row as JSON text."""
     report = F.struct(
@@ -291,4 +295,4 @@ def threat_report(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.select(*keys, F.to_json(report).alias("report"))
 
 
-__all__ = ["ScoreOptions", "score_pages", "score_texts", "score_urls", "threat_report", "U"]
+__all__ = ["ScoreOptions", "score_pages", "score_texts", "score_urls", "threat_report"]
