@@ -257,6 +257,21 @@ def importance(spark, sf):
     return ml.feature_importance(spark, model, K.FEATURES40)
 
 
+@register("model_search")
+def search(spark, sf):
+    train = ml.stratified_halves(training_table(spark, sf)).filter("split = 'train'")
+    # folds, weights and features once; every fit reads the stored columns
+    rows = ml.with_folds(ml.balanced_weights(train.drop("rank_in_group")), 2).select(
+        "url", "label", "weight", "fold", *FEATURES).persist()
+    found = [
+        ml.random_search("random_forest", rows, FEATURES, {"numTrees": [5], "maxDepth": [3]}, draws=1, folds=2),
+        ml.random_search("gradient_boosting", rows, FEATURES, {"maxIter": [2], "maxDepth": [2]}, draws=1, folds=2),
+    ]
+    best = ml.select_best(found)
+    out = ml.model_metrics(ml.predict(ml.retrain(best, rows), rows)).withColumn("model", F.lit(best.name))
+    return out
+
+
 @register("platt_calibration")
 def platt(spark, sf):
     df = I.probabilities(spark, sf)

@@ -173,18 +173,22 @@ def read_preset(spark: SparkSession, path: str, preset: str) -> DataFrame:
     return read_labeled_csv(spark, path, label, preset, candidates)
 
 
-def read_corpus(spark: SparkSession, path) -> DataFrame:
-    """JSON array of labelled pages; missing texts are empty, a missing list is an empty array."""
-    df = spark.read.schema(CORPUS_DDL).option("multiLine", True).json(path)
+def read_corpus(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """JSON array of labelled pages; missing texts are empty, a missing list is an empty array.
+
+    A JSON array is read by one task per file. Large corpora should be stored as JSON lines
+    and read with ``multi_line=False``, which Spark splits.
+    """
+    df = spark.read.schema(CORPUS_DDL).option("multiLine", multi_line).json(path)
     return df.withColumns({
         **{c: F.coalesce(c, F.lit("")) for c in ("url", "text", "html")},
         "expected_patterns": F.coalesce("expected_patterns", F.array().cast("array<string>")),
     })
 
 
-def read_json_urls(spark: SparkSession, path) -> DataFrame:
+def read_json_urls(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """Page corpus as standard URL records; unknown labels become -1."""
-    df = spark.read.schema(CORPUS_DDL).option("multiLine", True).json(path).select(
+    df = spark.read.schema(CORPUS_DDL).option("multiLine", multi_line).json(path).select(
         "*", F.col("_metadata.file_path").alias("source_file"),
         scan_position().alias("line_no"))
     url = U.normalize_url(F.col("url"))
@@ -197,6 +201,12 @@ def read_json_urls(spark: SparkSession, path) -> DataFrame:
     ).filter("url is not null")
 
 
+def _json_records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON array or JSON lines, told apart by the first character of the file."""
+    first = spark.read.text(path).limit(1).first()
+    return read_json_urls(spark, path, bool(first) and first[0].lstrip().startswith("["))
+
+
 def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
     """txt, csv and json files below a folder, sorted; result and report folders are skipped.
 
@@ -204,7 +214,7 @@ def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
     """
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     skip = r"/(results|reports|__pycache__)/"
-    rows = names.filter(
+    rows = names.filter(  # file names only, metadata of the scan
         F.lower("path").rlike(r"\.(txt|csv|json)$") & ~F.col("path").rlike(skip)
     ).collect()
     return sorted(r[0] for r in rows)
@@ -216,13 +226,22 @@ def load_all(spark: SparkSession, root: str, warn=print) -> tuple[DataFrame, Dat
     from webrisk.operators.prep import dedupe_urls, load_summary
 
     parts = []
-    for path in list_dataset_files(spark, root):
-        reader = {"txt": read_url_lines, "csv": read_url_csv, "json": read_json_urls}[
-            path.rsplit(".", 1)[1].lower()]
+
+    def attempt(reader, path) -> None:
         try:
             parts.append(reader(spark, path))
         except Exception as problem:  # a broken file must not stop the load
             warn(f"[WARN] Failed to load {path}: {problem}")
+
+    files = list_dataset_files(spark, root)
+    lists = [f for f in files if f.lower().endswith(".txt")]
+    if lists:  # one scan however many lists there are
+        attempt(read_url_lines, lists)
+    for path in files:
+        if path.lower().endswith(".csv"):  # columns differ per file
+            attempt(read_url_csv, path)
+        elif path.lower().endswith(".json"):
+            attempt(_json_records, path)
     if not parts:
         raise ValueError(f"No datasets loaded from {root}")
     merged = parts[0]
