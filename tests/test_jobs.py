@@ -145,6 +145,31 @@ def test_training_and_artifacts(spark, tmp_path):
     assert ml.predict(loaded, df).count() == 400
 
 
+@pytest.mark.parametrize("labels,want", [
+    ([-1, 1], 0.3), (["NotPhishy", "Phishy"], 0.7), (["safe", "other"], 0.7), (["a", "b"], 0.7)])
+def test_label_probability(spark, labels, want):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(Vectors.dense([0.3, 0.7]),)], ["probability"])
+    assert df.select(ml.label_probability(df, labels)).first()[0] == pytest.approx(want)
+
+
+def test_cached_lookup_edges(spark):
+    from webrisk.operators.intel import lookup_cached
+
+    results = spark.createDataFrame([("u", 0, 1), ("u", 400, 2), ("v", 0, 9)], "url string, t long, score int")
+    scans = spark.createDataFrame(
+        [("u", 0), ("u", 399), ("u", 400), ("u", 1300), ("u", 1301), ("v", 900), ("v", 901), ("w", 1), ("u", -1)],
+        "url string, t long")
+    ts = F.timestamp_seconds(F.col("t") + 1_700_000_000)
+    out = lookup_cached(scans.withColumn("ts", ts), results.withColumn("ts", ts), ["score"])
+    got = {(r.url, r.t): (r.cache_hit, r.cached_score) for r in out.collect()}
+    assert got == {
+        ("u", 0): (True, 1), ("u", 399): (True, 1), ("u", 400): (True, 2), ("u", 1300): (True, 2),
+        ("u", 1301): (False, None), ("v", 900): (True, 9), ("v", 901): (False, None),
+        ("w", 1): (False, None), ("u", -1): (False, None)}
+
+
 def test_calibration(spark):
     df = spark.range(1000).select(
         (F.col("id") / 1000.0).alias("raw_prob"),

@@ -151,6 +151,18 @@ def test_text_mode_and_report(spark, pages, scored):
     assert '"threat_level"' in report and '"technical_findings"' in report
 
 
+def test_match_preview_joins_groups(spark):
+    from webrisk.operators.text_rules import content_evidence
+
+    text = "Act within 5 minutes. Urgent! Account locked."
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    rows = {r.code: r for r in content_evidence(df, ["id"]).collect()}
+    urgency = rows["content-urgency-pressure"]
+    assert urgency.value == "2" and urgency.score_impact == 14
+    assert urgency.description == "Detected 2 phishing-linked language matches (within 5 minutes minutes, urgent)."
+    assert "(account locked locked)" in rows["content-scare-tactics"].description
+
+
 def test_fix_codes_option(spark, pages):
     html = "<html><body><script>d.requestFullscreen()</script></body></html>"
     df = spark.createDataFrame([(1, "https://a.example.com/", html)], "page_id long, url string, html string")

@@ -201,14 +201,15 @@ def lookup_cached(
 ) -> DataFrame:
     """As-of lookup with tolerance: latest result at or before the scan, at most ``ttl_seconds`` old.
 
-    Time is cut into slots as long as the tolerance, so a usable result lies in the slot
-    of the scan or in the one before. Within a slot a window carries the last result
-    forward; the slot before contributes a single pre-aggregated row. No pairs are
-    formed, and a hot key spreads over its slots.
+    Time is cut into coarse slots as long as the tolerance and fine slots of one second. A
+    usable result lies in the scan's coarse slot or the one before. Rows are ordered only
+    within (key, second); across seconds one pre-aggregated row per second is carried
+    forward. No pairs are formed, and a hot key spreads over its seconds.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     width = ttl_seconds * 1_000_000
     hit = F.struct(micros.alias("at"), *[F.col(v) for v in value])
+    fine, coarse = F.floor(F.col("_at") / 1_000_000), F.floor(F.col("_at") / width)
     r = results.select(
         F.col(key), micros.alias("_at"), F.lit(0).alias("_kind"), hit.alias("_hit"))
     hit_type = r.schema["_hit"].dataType
@@ -218,14 +219,21 @@ def lookup_cached(
         F.struct(*scan_columns).alias("_scan"))
     rows = r.withColumn("_scan", F.lit(None).cast(s.schema["_scan"].dataType)).unionByName(
         s.withColumn("_hit", F.lit(None).cast(hit_type))
-    ).withColumn("_slot", F.floor(F.col("_at") / width))
-    w = Window.partitionBy(key, "_slot").orderBy("_at", "_kind").rowsBetween(
+    ).withColumns({"_fine": fine, "_coarse": coarse})
+
+    inside = Window.partitionBy(key, "_coarse", "_fine").orderBy("_at", "_kind").rowsBetween(
         Window.unboundedPreceding, 0)
-    here = rows.withColumn("_here", F.last("_hit", ignorenulls=True).over(w)).filter("_kind = 1")
-    before = r.withColumn("_slot", F.floor(F.col("_at") / width) + 1).groupBy(key, "_slot").agg(
+    here = rows.withColumn("_here", F.last("_hit", ignorenulls=True).over(inside)).filter("_kind = 1")
+
+    seconds = rows.groupBy(key, "_coarse", "_fine").agg(F.max_by("_hit", F.when(
+        F.col("_hit").isNotNull(), F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy(key, "_coarse").orderBy("_fine").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = seconds.withColumn("_earlier", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    before = r.withColumn("_coarse", coarse + 1).groupBy(key, "_coarse").agg(
         F.max_by("_hit", "_at").alias("_before"))
-    joined = here.join(before, [key, "_slot"], "left")
-    best = F.coalesce("_here", "_before")
+    joined = here.join(carried, [key, "_coarse", "_fine"], "left").join(before, [key, "_coarse"], "left")
+    best = F.coalesce("_here", "_earlier", "_before")
     fresh = (F.col("_at") - F.col("_best.at")) <= width
     return joined.withColumn("_best", best).select(
         *[F.col(f"_scan.{c}").alias(c) for c in scan_columns],

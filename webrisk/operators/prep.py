@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from webrisk.functions import urls as U
 
 HASH_BUCKET_DIGITS = 3  # 4096 buckets per group
-PRUNABLE_LIMIT = 1000  # Spark prunes row_number() <= n before the shuffle up to this n
+# row_number() <= n is pruned to n rows per group and task before the shuffle; beyond this n the
+# survivors of a hot group over many thousand tasks would be too many for one reducer
+PRUNABLE_LIMIT = 100
 
 
 def sample_hash(seed: int, column: str = "url") -> Column:
