@@ -97,7 +97,47 @@ def context(spark, sf):
         "doc_id", "oauth_context", "mfa_context", "notification_context")
 
 
-@register("score_texts")
+def _row(inner: str, bucket: str, seq: int, rel: str = "0.74::double") -> str:
+    return (f"select page_id, {seq} as seq, '{bucket}' as bucket, '{bucket}' as source, code, '' as title, severity, "
+            f"category, score_impact as impact, confidence as conf, {rel} as rel, '' as descr from ({inner})")
+
+
+def _text_sql() -> str:
+    """Text-only scoring in SQL: content rules, text score, suppression, fusion."""
+    from checks import q_evidence as QE
+
+    url = "'local-text-analysis.invalid'"
+    host = " union all ".join(
+        _row(f"select page_id, '{c}' as code, '{K.URL_RULES[c][1]}' as severity, '{K.URL_RULES[c][2]}' as category, {K.URL_RULES[c][3]} as score_impact, {K.URL_RULES[c][4]}::double as confidence from pt where {w}", "url", i)
+        for i, (c, w) in enumerate({
+            "url-high-entropy-host": f"{S.entropy(url)} >= 4.2",
+            "url-medium-entropy-host": f"{S.entropy(url)} >= 3.7 and {S.entropy(url)} < 4.2"}.items()))
+    content = " union all ".join(
+        _row(_content_rule(c).replace("doc_id", "page_id"), "content", 200 + i) for i, c in enumerate(K.CONTENT_RULES))
+    content += " union all " + _row(
+        f"select page_id, 'content-emotional-amplification' as code, 'low' as severity, 'social-engineering' as category, 8 as score_impact, 0.62::double as confidence from pt where {BANGS} >= 6 or {UPPER} >= 0.32", "content", 250)
+    nlp = " union all ".join(
+        _row(f"select page_id, '{_NAMES[k]}' as code, '{_SEV[k]}' as severity, 'language-anomaly' as category, {K.ISSUE_IMPACT[_SEV[k]]} as score_impact, 0.72::double as confidence from sc where {k} > 0",
+             "content", 300 + i, "0.68::double") for i, k in enumerate(KEYS))
+    flags = " + ".join(
+        f"coalesce(max(case when bucket = 'content' and code in {S.lst(codes)} then 1 else 0 end), 0) * {p}" for _, codes, p, _ in K.NARRATIVE)
+    return f"""with p_t as (select doc_id as page_id, text || ' ' || {S._PHRASE} as text from documents), pt as (select * from p_t),
+sc as (select page_id, {SUB}, case when {BANGS} >= 6 then 5 else 0 end + case when {CAPS} >= 3 then 6 else 0 end as emotional_pressure from pt),
+ts as (select page_id, ({' + '.join(KEYS)})::int as total, least(100, {' + '.join(KEYS)})::int as text_score, round(0.42::double + least(0.45::double, ({ISSUE_COUNT}) * 0.07::double), 2) as text_conf from sc),
+pg as (select page_id, '' as url, false as trusted, 0 as hops, {S.any_of('lower(text)', K.OAUTH_TEXT_HINTS)} as oauth, {S.any_of('lower(text)', K.MFA_HINTS)} as mfa,
+    {S.any_of('lower(text)', K.NOTIFICATION_HINTS)} as notif, false as analytics, 0 as cal, 0.0::double as url_conf, text_score, text_conf, 0 as intel, 0.0::double as intel_conf, total as language
+  from pt join ts using (page_id)),
+ev0 as ({host} union all {content}), {QE.suppression_steps("ev0")},
+ev as (select page_id, seq, bucket, source, code, title, severity, category, impact, conf, rel, descr from s6 union all {nlp}
+  union all select page_id, 402, 'model', 'model', 'model-text-scam-likelihood', '', case when text_score >= 70 then 'high' when text_score >= 45 then 'medium' else 'low' end,
+    'nlp-model', greatest(3, floor(text_score * 0.24::double))::int, greatest(0.2::double, least(0.99::double, text_conf)), greatest(0.3::double, least(0.95::double, text_conf)), '' from pg where text_score > 0),
+{QE.FUSION_STEPS},
+nr as (select vd.page_id, any_value(language) as language, {flags} as points from vd left join ev using (page_id) group by vd.page_id)
+select page_id as doc_id, risk_score, classification, confidence, text_score::int as text_score, least(100, least(100, nr.language) + points)::int as coercion_score
+from vd join nr using (page_id)"""
+
+
+@register("score_texts", _text_sql())
 def text_verdicts(spark, sf):
     from webrisk.plans.score import score_texts
 
