@@ -240,7 +240,53 @@ def domain_trust(spark, sf):
         "page_id", "host", "trust_score", "is_trusted", "trust_category")
 
 
-@register("score_urls")
+def _score_sql() -> str:
+    """URL-only scoring in SQL: no page is seen, so page features are neutral."""
+    from checks import q_evidence as QE
+
+    short = S.text(K.FEATURES30_SHORTENERS.removeprefix("(?i)"))
+    bad = {
+        "using_ip": "ip", "long_url": "length(url) > 75", "short_url": f"regexp_matches(lower(url), {short})",
+        "symbol": "contains(url, '@')", "redirecting": "length(url) - strpos(reverse(url), '//') - 1 > 6",
+        "prefix_suffix": "contains(host, '-')", "sub_domains": f"{DEPTH} > 2", "https": "scheme <> 'https'",
+        "domain_reg_len": "true", "non_std_port": "port is not null", "https_domain_url": "contains(host, 'https')",
+        "abnormal_url": "true", "status_bar": "true", "right_click": "true", "popup": "true", "iframe": "true",
+        "age": "true", "dns": "true",
+        "stats_report": "regexp_matches(replace(host, '.', ''), '^[0-9]+$') or suffix in " + S.lst(K.FEATURES30_TLDS),
+    }
+    risky = " + ".join(f"({c})::int" for c in bad.values())
+    numeric = "regexp_matches(replace(host, '.', ''), '^[0-9]+$')"
+    hyphens = "length(host) - length(replace(host, '-', '')) >= 3"
+    issues = [(K.URL_MODEL_ISSUES[n], bad[n]) for n in (
+        "using_ip", "short_url", "symbol", "redirecting", "prefix_suffix", "sub_domains", "https", "non_std_port", "stats_report")]
+    issues += [(K.URL_SCORE_ISSUES["long"], "length(url) > 75"), (K.URL_SCORE_ISSUES["at"], bad["symbol"]),
+               (K.URL_SCORE_ISSUES["hyphens"], hyphens), (K.URL_SCORE_ISSUES["non_https"], bad["https"]),
+               (K.URL_SCORE_ISSUES["numeric"], numeric)]
+    issue_rows = " union all ".join(
+        f"select page_id, {420 + n}, 'model', 'model', '{i[0]}', '', '{i[3]}', 'url-model', {K.ISSUE_IMPACT[i[3]]}, 0.72::double, 0.68::double, '' from u where {c}"
+        for n, (i, c) in enumerate(issues))
+    url_rows = " union all ".join(
+        f"select page_id, {n} as seq, 'url' as bucket, 'url' as source, code, '' as title, severity, category, score_impact as impact, confidence as conf, reliability as rel, '' as descr from ({_url_rule(c, w)})"
+        for n, (c, w) in enumerate(URL_CONDITIONS.items()))
+    return S.URLS + f""", us as (select page_id, url, least(0.95::double, 0.25::double + ({risky}) * 0.02::double) as p,
+    (length(url) > 75)::int * 12 + ({bad['symbol']})::int * 20 + ({hyphens})::int * 12 + ({bad['https']})::int * 10 + ({numeric})::int * 18 as bonus,
+    0.35::double + ip::int * 0.1::double + ({bad['short_url']})::int * 0.08::double + ({bad['symbol']})::int * 0.08::double as hint from u),
+p00 as (select page_id, url, false as trusted, 0 as hops, false as oauth, false as mfa, false as notif, false as analytics,
+    least(100, round_even(round_even(p * 100, 0) * 0.75::double + bonus * 0.25::double, 0))::int as url_score,
+    {S.half_even('least(0.99::double, greatest(p, least(0.95::double, hint)))', 2)} as url_conf, 0 as text_score, 0.0::double as text_conf, 0 as intel, 0.0::double as intel_conf, 0 as language from us),
+ev0 as ({url_rows}), {QE.suppression_steps("ev0").replace("join pg using", "join p00 using")},
+ca as (select page_id, count(*) filter (severity in ('high', 'critical')) as nsev from s6 group by page_id),
+cb as (select p00.*, least(20, case coalesce(nsev, 0) when 0 then {S.rint('url_score * 0.45::double')} when 1 then {S.rint('url_score * 0.68::double')} when 2 then {S.rint('url_score * 0.9::double')} else url_score end) as d from p00 left join ca using (page_id)),
+pg as (select * exclude (d), {S.rint('d * 0.82::double')} as cal from cb),
+ev as (select page_id, seq, bucket, source, code, title, severity, category, impact, conf, rel, descr from s6
+  union all select page_id, 400, 'model', 'model', 'model-url-phishing-probability', '', 'low', 'url-model', greatest(2, floor(cal * 0.24::double))::int,
+    greatest(0.2::double, least(0.99::double, url_conf)), greatest(0.3::double, least(0.98::double, url_conf)), '' from pg
+  union all select page_id, 401, 'model', 'model', 'model-url-fallback', '', 'medium', 'runtime', 9, 0.74::double, 0.6::double, '' from pg
+  union all {issue_rows}), {QE.FUSION_STEPS}
+select page_id, 'ok' as status, risk_score, classification, confidence, url_score, cal::int as calibrated_url_score from vd"""
+
+
+@register("score_urls", _score_sql())
 def score_urls_query(spark, sf):
     from webrisk.plans.score import ScoreOptions, score_urls
 
