@@ -72,7 +72,10 @@ SNIPPETS = {
 
 def planted_pages(spark: SparkSession, sf: str) -> DataFrame:
     """page_id, url, html: one of sixteen snippets right after <body>."""
-    pages = table(spark, sf, "pages")
+    return plant_snippets(table(spark, sf, "pages"))
+
+
+def plant_snippets(pages: DataFrame) -> DataFrame:
     h = url_host(F.col("url"))
     snippets = {
         k: F.concat(F.lit(v[0]), h, F.lit(v[1])) if isinstance(v, tuple) else F.lit(v)

@@ -234,7 +234,10 @@ select page_id, url, 'ok' as status, risk_score, classification, confidence, coa
 from vd left join pl using (page_id)"""
 
 
-@register("score_pages", _page_sql())
+PAGE_SQL = _page_sql()
+
+
+@register("score_pages", PAGE_SQL)
 def scored(spark, sf):
     return score_pages(I.planted_pages(spark, sf), options=ScoreOptions()).select(
         "page_id", "url", "status", "risk_score", "classification", "confidence",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks import sql as S
+from checks.q_pages import PAGE_SQL
 from checks.registry import register
 from webrisk.streaming import jobs
 
@@ -44,7 +45,7 @@ def stream_lookups(spark, sf):
     return _drain(spark, jobs.first_lookups(e), "append").select("url")
 
 
-@register("stream_scores")
+@register("stream_scores", f"select page_id as id, page_id % 7 as user_id, risk_score, classification from ({PAGE_SQL})")
 def stream_scores(spark, sf):
     import tempfile
 
@@ -52,7 +53,7 @@ def stream_scores(spark, sf):
 
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     run = f"{root}/scores-{uuid.uuid4().hex[:12]}"
-    pages = _stream(spark, sf, "pages").withColumns({
+    pages = I.plant_snippets(_stream(spark, sf, "pages")).withColumns({
         "user_id": F.col("page_id") % 7, "ts": F.lit("2024-01-01").cast("timestamp")})
     query = jobs.score_stream(pages, f"{run}/history", f"{run}/checkpoint", options=ScoreOptions())
     query.awaitTermination()
