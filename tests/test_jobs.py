@@ -145,6 +145,43 @@ def test_training_and_artifacts(spark, tmp_path):
     assert ml.predict(loaded, df).count() == 400
 
 
+def test_cached_lookup_with_a_hot_key(spark):
+    import random
+
+    from webrisk.operators.intel import lookup_cached
+
+    rng = random.Random(7)
+    pick = lambda: "hot" if rng.random() < 0.4 else f"u{rng.randrange(20)}"
+    results = [(pick(), rng.randrange(6000), i) for i in range(600)]
+    results = list({(u, t): (u, t, i) for u, t, i in results}.values())
+    scans = [(i, pick(), rng.randrange(7000)) for i in range(900)]
+    ts = F.timestamp_seconds(F.col("t") + 1_700_000_000)
+    out = lookup_cached(
+        spark.createDataFrame(scans, "id long, url string, t long").withColumn("ts", ts),
+        spark.createDataFrame(results, "url string, t long, score int").withColumn("ts", ts), ["score"])
+    got = {r.id: r.cached_score for r in out.collect()}
+    for i, url, t in scans:
+        usable = [(rt, s) for u, rt, s in results if u == url and rt <= t]
+        last = max(usable) if usable else None
+        assert got[i] == (last[1] if last and t - last[0] <= 900 else None)
+    assert len(got) == len(scans)
+
+
+def test_dedupe_with_a_hot_url(spark):
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("https://hot.example/")).otherwise(
+            F.concat(F.lit("https://u.example/"), (F.col("id") % 500).cast("string"))).alias("url"),
+        F.lit("f").alias("source_file"), F.lit("f").alias("source_dataset"), F.col("id").alias("line_no"))
+    rows = {r.url: r.line_no for r in prep.dedupe_urls(df.repartition(16)).collect()}
+    assert rows["https://hot.example/"] == 0
+    want = {}
+    for i in range(6000):
+        want.setdefault("https://hot.example/" if i % 3 == 0 else f"https://u.example/{i % 500}", i)
+    assert rows == want
+    total = prep.load_summary(df).first()
+    assert (total.rows, total.duplicate_rows, total.invalid_rows) == (len(want), 6000 - len(want), 0)
+
+
 @pytest.mark.parametrize("labels,want", [
     ([-1, 1], 0.3), (["NotPhishy", "Phishy"], 0.7), (["safe", "other"], 0.7), (["a", "b"], 0.7)])
 def test_label_probability(spark, labels, want):

@@ -3,7 +3,8 @@
 Without findings or interaction logs the whole plan is one stage: scan, source
 patterns, one Arrow pass for the parse, then column expressions. Findings and
 interaction events are aggregated to one row per URL or page before they are joined,
-so a hot URL never multiplies rows.
+so a hot URL never multiplies rows; and the joins come last, when sources and texts
+have been reduced to evidence.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
+from webrisk.functions import text as T
 from webrisk.operators import dom_rules, evidence as E, html as H, page_features as P
 from webrisk.operators import patterns, text_rules, timeline, url_rules, verdict
 from webrisk.operators.interaction import EVENTS_DDL
@@ -82,29 +84,8 @@ def score_pages(
         "text_model_confidence", "fetch_error") if c in df.columns]
     df = df.select(*keys, "url", "html", "page_text", "redirect_chain", *[
         c for c in optional if c not in keys])
-    # joins come before the parse and carry only keys and small arrays
-    if findings is not None:
-        df = df.join(
-            findings.select("url", "intel_score", "intel_confidence", "intel_findings", "intel_issues"),
-            "url", "left")
-    if interactions is not None:
-        df = df.join(
-            interactions.select(*keys, "interaction_events", "interaction_signals"), keys, "left")
-        df = df.withColumns({
-            "interaction_events": F.coalesce("interaction_events", F.array().cast(EVENTS_DDL)),
-            "interaction_signals": F.coalesce("interaction_signals", no_signals()),
-        })
-    defaults = {
-        "intel_findings": F.array().cast(FINDINGS_DDL),
-        "intel_issues": F.array().cast(text_rules.ISSUES_DDL),
-        "intel_score": F.lit(0), "intel_confidence": F.lit(o.intel_confidence_default),
-        "redirect_chain": F.array().cast("array<string>"),
-    }
-    df = df.withColumns({
-        name: F.coalesce(name, value) if name in df.columns else value
-        for name, value in defaults.items()
-    })
-
+    df = df.withColumn(
+        "redirect_chain", F.coalesce("redirect_chain", F.array().cast("array<string>")))
     df = dom_rules.source_flags(df)
     df = P.model_source_flags(df) if o.model_sees_page else P.without_page(df)
     df = H.parse_pages(df)
@@ -115,19 +96,40 @@ def score_pages(
     seen = F.coalesce("dom_text", F.lit(""))
     if o.text_limit is not None:
         seen = F.substring(seen, 1, o.text_limit)
-    df = df.withColumn("_text", F.when(given.rlike(r"(?U)\S"), F.trim(given)).otherwise(seen))
+    df = df.withColumn("_text", F.when(given.rlike(r"(?U)\S"), T.strip(given)).otherwise(seen))
     spoken = F.col("_text")
     if o.excerpt_chars is not None:
         spoken = F.substring(spoken, 1, o.excerpt_chars)
     df = df.withColumn("_spoken", F.when(given != "", given).otherwise(spoken))
     # everything that reads tags or texts comes first; afterwards rows are small
     df = _url_features(df, optional, "elements" if o.model_sees_page else None)
-    df = df.drop("elements", "dom_text").withColumn(
+    df = df.drop("elements", "dom_text", "page_text").withColumn(
         "_gate", text_rules.phrase_gate(F.lower("_text")))
     df = text_rules.with_content_signals(df, "_text", "_gate")
     df = E.with_context_flags(df, "_text")
     df = _text_score(df, optional)
     df = E.suppress(E.with_domain_trust(df))
+    # joins come after sources, tags and texts are gone: a shuffle moves only evidence
+    if findings is not None:
+        df = df.join(
+            findings.select("url", "intel_score", "intel_confidence", "intel_findings", "intel_issues"),
+            "url", "left")
+    if interactions is not None:
+        df = df.join(
+            interactions.select(*keys, "interaction_events", "interaction_signals"), keys, "left")
+        df = df.withColumns({
+            "interaction_events": F.coalesce("interaction_events", F.array().cast(EVENTS_DDL)),
+            "interaction_signals": F.coalesce("interaction_signals", no_signals()),
+        })
+    defaults = {
+        "intel_findings": F.array().cast(FINDINGS_DDL),
+        "intel_issues": F.array().cast(text_rules.ISSUES_DDL),
+        "intel_score": F.lit(0), "intel_confidence": F.lit(o.intel_confidence_default),
+    }
+    df = df.withColumns({
+        name: F.coalesce(name, value) if name in df.columns else value
+        for name, value in defaults.items()
+    })
     return _finish(df, keys, o, optional, started_at, has_url=True)
 
 
@@ -161,7 +163,7 @@ def score_texts(
     df = texts.select(*keys, F.lit("https://local-text-analysis.invalid").alias("url"),
                       F.col(text).alias("_spoken"))
     df = df.withColumns({
-        "_text": F.trim(F.coalesce("_spoken", F.lit(""))),
+        "_text": T.strip(F.coalesce("_spoken", F.lit(""))),
         "redirect_chain": F.array().cast("array<string>"),
         "intel_findings": F.array().cast(FINDINGS_DDL),
         "intel_issues": F.array().cast(text_rules.ISSUES_DDL),
@@ -228,7 +230,7 @@ def _finish(
         for name, kind in verdict_columns.items()
     })
     weighted = F.struct(*[
-        verdict.T.py_round(F.col(f"_w_{c}"), 2).alias(c) for c in verdict.COMPONENTS])
+        T.py_round(F.col(f"_w_{c}"), 2).alias(c) for c in verdict.COMPONENTS])
     df = df.withColumn("weighted_components", weighted)
     out += [
         "risk_score", "classification", "confidence", "risk_cap", "strong_rows",
