@@ -410,10 +410,13 @@ def timeline_query(spark, sf):
         "page_id", "event_no", "stage", "title", "score_before", "score_after")
 
 
-@register("confidence_progression")
+@register("confidence_progression", f"""select page_id, event_no, 'evt-' || printf('%03d', event_no + 1) as event_id, epoch_us(timestamp '2024-01-01' + event_no * interval 1 second) as event_us,
+  score_after as score, case when score_after < 25 then 'Safe' when score_after < 50 then 'Suspicious' when score_after < 75 then 'Dangerous' else 'Critical' end as classification, stage from ({TIMELINE})""")
 def progression(spark, sf):
-    df = timeline.with_timeline(detailed(spark, sf), F.lit("2024-01-01").cast("timestamp"))
-    return timeline.confidence_progression(df, ["page_id"])
+    df = timeline.with_timeline(detailed(spark, sf), F.timestamp_seconds(F.lit(1704067200)))
+    return timeline.confidence_progression(df, ["page_id"]).select(
+        "page_id", "event_no", "event_id", F.unix_micros("event_time").alias("event_us"), "score",
+        "classification", "stage")
 
 
 __all__ = ["no_signals"]

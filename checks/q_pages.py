@@ -246,7 +246,13 @@ def scored(spark, sf):
         "content_scam_score", "redirect_risk", "calibrated_url_score")
 
 
-@register("threat_report")
+@register("threat_report", f"select page_id, classification as threat_level, evidence_rows, patterns, dom_suspicion::varchar as dom_suspicion from ({PAGE_SQL})")
 def report(spark, sf):
-    scored_pages = score_pages(I.planted_pages(spark, sf), options=ScoreOptions(with_timeline=False))
-    return threat_report(scored_pages, ["page_id"])
+    scored_pages = score_pages(I.planted_pages(spark, sf), options=ScoreOptions(with_timeline=True))
+    r = F.from_json("report", (
+        "threat_report struct<threat_level:string,evidence:array<struct<code:string>>,"
+        "attack_patterns:array<struct<code:string>>,component_scores:struct<dom_suspicion:string>>"))["threat_report"]
+    return threat_report(scored_pages, ["page_id"]).select("page_id", r.alias("r")).select(
+        "page_id", "r.threat_level", F.size("r.evidence").alias("evidence_rows"),
+        F.array_join("r.attack_patterns.code", ",").alias("patterns"),
+        F.col("r.component_scores.dom_suspicion").alias("dom_suspicion"))

@@ -279,6 +279,18 @@ def platt(spark, sf):
     return calibrate.calibration_error(fitted.transform(df, "phishing_probability"))
 
 
+@register("isotonic_fit", f"""with {S.PROBS}, g as (select p, sum(label)::double as s, count(*)::double as n from pr group by p),
+c as (select p, row_number() over (order by p) as i, sum(s) over (order by p) as cs, sum(n) over (order by p) as cn, s, n from g),
+m as (select a.i as j, b.i as k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) as mean from c a join c b on a.i <= b.i),
+w as (select j, k as i, min(mean) over (partition by j order by k rows between current row and unbounded following) as low from m)
+select p, round(max(low), 6) as calibrated from w join c using (i) group by p""")
+def isotonic_fit(spark, sf):
+    df = I.probabilities(spark, sf)
+    out = calibrate.fit_calibrator(df, "isotonic", "phishing_probability").transform(df, "phishing_probability")
+    return out.groupBy(F.col("phishing_probability").alias("p")).agg(
+        F.round(F.max("calibrated_prob"), 6).alias("calibrated"))
+
+
 @register("isotonic_calibration")
 def isotonic(spark, sf):
     df = I.probabilities(spark, sf)
