@@ -37,7 +37,7 @@ class LineStore:
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
         # the aggregation below has already dealt the rows by hash, so every task holds a few buckets
-        (run.write.bucketBy(self.buckets, "h1").sortBy("h1").option("path", f"{self.root}/{name}")
+        (run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}")
          .format("parquet").saveAsTable(name))
         self.levels.setdefault(level, []).append(name)
 
