@@ -8,6 +8,7 @@ from webrisk.llm.license_scan import scan_licences
 from webrisk.llm.near_dedup import near_duplicates
 from webrisk.llm.quality import judge
 from webrisk.llm.registry import register, table
+from webrisk.llm.substrings import dedup_substrings
 
 
 @register("op1_minhash_dedup")
@@ -36,3 +37,8 @@ def quality_rules(spark, sf_dir):
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "chars_per_token", "byte_share", "token_entropy")
+
+
+@register("op9_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
