@@ -8,6 +8,7 @@
 4. A list isn't expanded into pairs. Its most common sketch is the centre that all others meet; when links have
    merged what belongs together, only members outside the list's main component meet the others. Members of long
    lists do so by the rarest shingles of their full sets, where the bound on misses is exact and tight.
+   Set sizes and the parity of 256 hash classes of the sets rule out most pairs inside the join, without loss.
 5. Pairs pass if the union sketch estimates enough similarity; the exact Jaccard of the full sets decides.
 6. Components over the links, by smallest label.
 
@@ -37,6 +38,7 @@ OVERLAP = 27
 LONG_LIST = 40
 #: The union sketch must estimate at least this: five standard deviations below 0.85.
 LEAST_ESTIMATE = 0.58
+BITS = ("s0", "s1", "s2", "s3")
 _D2 = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -53,6 +55,12 @@ def shingle_sets(w: Words) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.int64)
 
 
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the values that hash to it: two sets differ in at least as many elements as bits."""
+    odd = np.bincount(values.view(np.uint64).view(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -67,8 +75,8 @@ def _sketch(batches):
         sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()),
-             pa.array(sums[:, 1].copy()), _lists([s[:K] for s in sets])],
-            ["doc_id", "n", "d1", "d2", "sketch"])
+             pa.array(sums[:, 1].copy()), _lists([s[:K] for s in sets]), *(pa.array(b.copy()) for b in np.array([parity_bits(s) for s in sets], np.int64).reshape(-1, 4).T)],
+            ["doc_id", "n", "d1", "d2", "sketch", *BITS])
 
 
 def _full_sets(batches):
@@ -76,8 +84,11 @@ def _full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(words_of(batch.column(1), lower=True))))], ["id", "full"])
 
 
-def _close(x, y, percent: int):
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _close(n, m, other: str, percent: int):
+    """Sizes and parity bits (columns BITS against the other side's) allow the similarity."""
+    differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in BITS)
+    most = n + m - 2 * F.ceil((n + m) * percent / (100 + percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= most)
 
 
 def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -97,7 +108,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
     met = C.stored(met.select("a", "b", "exact"), "estimated")
     open_ = met.where(~F.col("exact"))
     ids = open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b"))).distinct()
-    full = C.stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>"), "sets")
+    full = C.stored(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>"), "sets")
     judged = (open_.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
               .join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b"))
     common = F.size(F.array_intersect("fa", "fb"))
@@ -105,10 +116,10 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
     return C.stored(met.where("exact").select("a", "b").unionByName(judged.select("a", "b")), "links")
 
 
-def _ordered(values: DataFrame) -> DataFrame:
+def _ordered(values: DataFrame, carried: tuple[str, ...] = BITS) -> DataFrame:
     """Per representative the values that others hold too, rarest first: (rep, n, held)."""
     common = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    return values.join(common, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    return values.join(common, "v").groupBy("rep", "n", *carried).agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
 
 
 def _pairs(x, y):
@@ -120,11 +131,12 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
     per_label = lists.groupBy("v", "label").agg(F.count("*").alias("members"))
     main = per_label.groupBy("v").agg(F.max(F.struct("members", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1")
     lists = C.stored(lists.join(main.select("v", F.col("m.label").alias("main")), "v"), "open")
-    outside = lists.where(F.col("label") != F.col("main")).select("v", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("at").alias("au"))
+    outside = lists.where(F.col("label") != F.col("main")).select("v", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("at").alias("au"),
+        *(F.col(b).alias("u" + b) for b in BITS))
     # least intersection of two sizes at the similarity, and the positions up to which the pair must meet
     least = F.ceil((F.col("n") + F.col("nu")) * percent / (100 + percent))
     return lists.join(outside, "v").where(
-        (F.col("label") != F.col("lu")) & _close(F.col("n"), F.col("nu"), percent)
+        (F.col("label") != F.col("lu")) & _close(F.col("n"), F.col("nu"), "u", percent)
         & ((F.col("label") == F.col("main")) | (F.col("rep") < F.col("u")))
         & (F.col("at").isNull() | ((F.col("at") <= F.col("n") - least) & (F.col("au") <= F.col("nu") - least)))
     ).select(*_pairs(F.col("rep"), F.col("u"))).distinct()
@@ -133,41 +145,44 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = C.stored(texts.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "sketches")
+    sketched = C.stored(texts.mapInArrow(_sketch, 
+        "doc_id long, n long, d1 long, d2 long, sketch array<long>, s0 long, s1 long, s2 long, s3 long"), "sketches")
     own = sketched.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = C.stored(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "reps")
+    reps = C.stored(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), *(F.max(b).alias(b) for b in BITS)), "reps")
 
     n, size = F.col("n"), F.least(F.col("n"), F.lit(K))
     loss = 100 - percent
     sure = K - F.floor(n * loss / percent)  # of the union's K smallest, at most this share is not in both
     needed = F.when(n <= K, F.least(F.ceil(n * percent / 100), sure)).otherwise(F.greatest(F.lit(OVERLAP), sure))
-    shared = _ordered(reps.select("rep", "n", F.explode("sketch").alias("v")))
+    shared = _ordered(reps.select("rep", "n", *BITS, F.explode("sketch").alias("v")))
     take = (size - needed + 1) - (size - F.size("held"))
     weight = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     lists = C.stored(shared.withColumn("weight", weight).where(take > 0).select(
-        "rep", "n", "weight", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select("rep", "n", "weight", F.col("h.v").alias("v")), "lists")
+        "rep", "n", *BITS, "weight", F.explode(F.slice("held", F.lit(1), take.cast("int"))).alias("h")).select(
+        "rep", "n", *BITS, "weight", F.col("h.v").alias("v")), "lists")
 
-    centre = lists.groupBy("v").agg(F.max(F.struct("weight", "rep", "n")).alias("c"), F.count("*").alias("members"))
-    centre = centre.select("v", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), "members")
-    first = lists.join(centre, "v").where((F.col("rep") != F.col("c")) & _close(n, F.col("nc"), percent)).select(*_pairs(F.col("rep"), F.col("c")))
+    centre = lists.groupBy("v").agg(F.max(F.struct("weight", "rep", "n", *BITS)).alias("c"), F.count("*").alias("members"))
+    centre = centre.select("v", F.col("c.rep").alias("c"), F.col("c.n").alias("nc"), "members", *(F.col(f"c.{b}").alias("c" + b) for b in BITS))
+    first = lists.join(centre, "v").where((F.col("rep") != F.col("c")) & _close(n, F.col("nc"), "c", percent)).select(*_pairs(F.col("rep"), F.col("c")))
     links = _links(first, reps, texts, percent)
     groups = components(links)
 
     label = F.coalesce("label", "rep").alias("label")
     named = groups.select(F.col("node").alias("rep"), "label")
     placed = C.stored(lists.join(centre.select("v", "members"), "v").join(named, "rep", "left").select(
-        "v", "rep", "n", label, "members", F.lit(None).cast("long").alias("at")), "placed")
+        "v", "rep", "n", *BITS, label, "members", F.lit(None).cast("long").alias("at")), "placed")
     few = _across(placed.where(F.col("members") <= LONG_LIST), percent)
     # members of long lists meet by the rarest shingles of their full sets, where the bound on misses is exact
     crowd = placed.where(F.col("members") > LONG_LIST).select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.join(crowd, "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>").dropDuplicates(["id"])
+    full = texts.join(crowd.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>").dropDuplicates(["id"])
     values = C.stored(full.select(F.col("id").alias("rep"), F.size("full").cast("long").alias("n"), F.explode("full").alias("v")), "crowd")
-    ranked = _ordered(values)
+    bits = reps.select("rep", *BITS)
+    ranked = _ordered(values, ()).join(bits, "rep")
     absent = n - F.size("held")
     cut = n - F.ceil(n * percent / 100) + 1 - absent
-    dense = ranked.where(cut > 0).select("rep", "n", absent.alias("absent"), F.posexplode(F.slice("held", F.lit(1), cut.cast("int"))).alias("i", "h")).select(
-        "rep", "n", F.col("h.v").alias("v"), (F.col("i") + F.col("absent")).cast("long").alias("at"))
-    many = _across(dense.join(named, "rep", "left").select("v", "rep", "n", label, "at"), percent)
+    dense = ranked.where(cut > 0).select("rep", "n", *BITS, absent.alias("absent"), F.posexplode(F.slice("held", F.lit(1), cut.cast("int"))).alias("i", "h")).select(
+        "rep", "n", *BITS, F.col("h.v").alias("v"), (F.col("i") + F.col("absent")).cast("long").alias("at"))
+    many = _across(dense.join(named, "rep", "left").select("v", "rep", "n", *BITS, label, "at"), percent)
     more = _links(few.unionByName(many), reps, texts, percent)
     groups = components(links.unionByName(more))
 
