@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webrisk.llm.pieces import decode, encode
 from webrisk.llm.registry import register, table
 from webrisk.llm.token_count import count_tokens
 from webrisk.llm.toxicity import fit_toxicity, score_toxicity
@@ -27,3 +28,15 @@ def token_count(spark, sf_dir):
 
     out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@register("op3_sentencepiece")
+def sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode(encode(docs, path), path)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -30,8 +30,8 @@ from webrisk.llm.wordhash import _BYTE, Words, _powers, mix, text_bytes, words_o
 
 #: Bound of the labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 20_000
-#: Hash buckets of the features.
-DIMENSIONS = 1 << 18
+#: Hash buckets of the features: a few times the number of word beginnings, so that few share one.
+DIMENSIONS = 1 << 20
 BEGINNINGS = (3, 4, 5, 6)
 #: Fixed alphabet of the language model: word edge, any other sign, and the letters of Western European languages.
 ALPHABET = "\x00\x01abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -182,10 +182,11 @@ def suspects(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(column: pa.Array) -> list[np.ndarray]:
-    """Per text the distinct buckets of its words and word beginnings."""
+    """Per text the distinct buckets of its short words and of its word beginnings (lengths in bytes)."""
     w = words_of(column, _LETTERS)
     length = w.end - w.start
-    rows, buckets = [w.row], [w.hash]
+    short = length <= BEGINNINGS[-1]
+    rows, buckets = [w.row[short]], [w.hash[short]]
     for n in BEGINNINGS:
         at = np.flatnonzero(length >= n)
         h = np.zeros(len(at), np.uint64)
@@ -237,10 +238,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     from pyspark.ml.linalg import Vectors, VectorUDT
 
     rows = C.stored(texts.mapInArrow(described, "label double, buckets array<long>"), "toxic-train")
-    # the rarer kind weighs more, by the root of the ratio, so that the threshold of 0.5 lies between the two
-    weight = F.when(F.col("label") > 0, F.lit(((total - toxic) / toxic) ** 0.5)).otherwise(1.0)
+    # both kinds weigh the same in total, so that the threshold of 0.5 lies between them
+    weight = F.when(F.col("label") > 0, F.lit((total - toxic) / toxic)).otherwise(1.0)
     sparse = F.udf(lambda b: Vectors.sparse(DIMENSIONS, b, [1.0] * len(b)), VectorUDT())
-    fitted = LogisticRegression(maxIter=60, regParam=3e-5, standardization=False, weightCol="weight").fit(rows.select(
+    fitted = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False, weightCol="weight").fit(rows.select(
         "label", weight.alias("weight"), sparse("buckets").alias("features")))
     return ToxicityModel(lm, fitted.coefficients.toArray().astype(np.float32), float(fitted.intercept))
 
