@@ -10,7 +10,7 @@ largest that holds it: its owner.
 
 Defined results: a null text is one empty line; rows without a doc_id keep all lines and
 are not counted; rows that repeat a doc_id are one document; an empty table gives an empty result; columns
-other than doc_id and text are not read. Keys are compared by a 128-bit hash.
+other than doc_id and text are passed on in a struct of their own, whatever their names. Keys are compared by a 128-bit hash.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def drop_repeated_lines(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, store: LineStore | None = None,
 ) -> DataFrame:
-    """Per row of docs: doc_id, row, n_lines, n_dropped and the kept text.
+    """Per row of docs: doc_id, row, n_lines, n_dropped, the kept text, and `source_row` with all other columns.
 
     A key of at least min_chars code points found in at least min_docs documents loses all its lines but
     those of the largest doc_id that holds it.
@@ -120,7 +120,8 @@ def drop_repeated_lines(
     drops = (lines.join(frequent, ["h1", "h2"]).where(F.col("doc_id") != F.col("owner"))
              .groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("at")))
     text = C.whole_text()
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.row_key(text).alias("row"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.row_key(text).alias("row"), text.alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("source_row"))
     joined = base.join(drops, ["doc_id", "row"], "left").withColumn("lines", F.split("text", "\n", -1))
     # one flag per line, built from the gaps between dropped positions: linear in the lines
     gaps = F.transform("at", lambda p, i: F.concat(F.repeat(
@@ -129,6 +130,6 @@ def drop_repeated_lines(
     kept = F.transform(F.filter(F.arrays_zip(F.col("lines").alias("line"), flags.alias("flag")),
                                 lambda x: x["flag"] == "0"), lambda x: x["line"])
     return joined.select(
-        "doc_id", "row", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", "row", "source_row", F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"))

@@ -19,6 +19,7 @@ one; an empty table gives an empty result; columns other than doc_id and text ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,10 @@ from webrisk.llm.wordhash import Words, chained, mix, words_of
 
 WIDTH = 5
 K = 48
-#: Fewest shared values of two sketches of K values at similarity 0.85: 5.4 standard deviations below the mean of 40.8.
-OVERLAP = 27
+#: Standard deviations allowed below the mean, for values that two sketches share and for the similarity they estimate.
+SLACK_SHARED, SLACK_ESTIMATE = 5.4, 5.0
 #: Lists of more members are not expanded; their members meet by full-set prefixes instead.
 LONG_LIST = 40
-#: The union sketch must estimate at least this: five standard deviations below 0.85.
-LEAST_ESTIMATE = 0.58
 BITS = ("s0", "s1", "s2", "s3")
 _D2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,6 +83,17 @@ def _full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(words_of(batch.column(1), lower=True))))], ["id", "full"])
 
 
+def overlap(percent: int) -> int:
+    """Fewest shared values of two sketches of K values at the similarity."""
+    p = percent / 100
+    return math.floor(K * p - SLACK_SHARED * math.sqrt(K * p * (1 - p)))
+
+
+def least_estimate(percent: int) -> float:
+    p = percent / 100
+    return p - SLACK_ESTIMATE * math.sqrt(p * (1 - p) / K)
+
+
 def _close(n, m, other: str, percent: int):
     """Sizes and parity bits (columns BITS against the other side's) allow the similarity."""
     differ = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(other + b))) for b in BITS)
@@ -104,7 +114,7 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
     shared = F.size(F.array_intersect("sa", "sb"))
     met = met.select("a", "b", exact.alias("exact"), F.when(
         exact, shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).otherwise(
-        both >= F.size(union) * LEAST_ESTIMATE).alias("passes")).where("passes")
+        both >= F.size(union) * least_estimate(percent)).alias("passes")).where("passes")
     met = C.stored(met.select("a", "b", "exact"), "estimated")
     open_ = met.where(~F.col("exact"))
     ids = open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b"))).distinct()
@@ -153,7 +163,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     n, size = F.col("n"), F.least(F.col("n"), F.lit(K))
     loss = 100 - percent
     sure = K - F.floor(n * loss / percent)  # of the union's K smallest, at most this share is not in both
-    needed = F.when(n <= K, F.least(F.ceil(n * percent / 100), sure)).otherwise(F.greatest(F.lit(OVERLAP), sure))
+    needed = F.when(n <= K, F.least(F.ceil(n * percent / 100), sure)).otherwise(F.greatest(F.lit(overlap(percent)), sure))
     shared = _ordered(reps.select("rep", "n", *BITS, F.explode("sketch").alias("v")))
     take = (size - needed + 1) - (size - F.size("held"))
     weight = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["df"])

@@ -246,15 +246,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     return ToxicityModel(lm, fitted.coefficients.toArray().astype(np.float32), float(fitted.intercept))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with a column score from 0 to 1."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1; a column of that name is replaced."""
     lm, weights, intercept = model.lm, model.weights, model.intercept
-    schema = docs.drop("score").schema.add("score", "double")
+    schema = docs.drop(column).schema.add(column, "double")
 
     def run(batches):
         for batch, restored in _restored(lm, batches):
             scores = [1 / (1 + np.exp(-np.clip(intercept + float(weights[f].sum()), -30, 30))) for f in features(restored)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(scores, pa.float64())], schema.names)
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(column).mapInArrow(run, schema)
 
