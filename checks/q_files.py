@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,13 +11,13 @@ from checks import sql as S
 from checks.registry import register
 from webrisk.functions.urls import url_host
 from webrisk.operators import history, prep
+from webrisk.session import shared_root
 from webrisk.sources import readers, sinks
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder below the shared folder of the cluster, or a temporary one in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/files-{uuid.uuid4().hex[:12]}/{name}"
+    """A new folder below the shared folder of the cluster."""
+    return f"{shared_root(spark)}/files-{uuid.uuid4().hex[:12]}/{name}"
 
 
 def _pages(spark, sf):

@@ -10,6 +10,7 @@ from checks import inputs as I
 from checks import sql as S
 from checks.q_pages import PAGE_SQL
 from checks.registry import register
+from webrisk.session import shared_root
 from webrisk.streaming import jobs
 
 
@@ -19,10 +20,14 @@ def _stream(spark, sf, name):
 
 
 def _drain(spark, df, mode):
-    name = f"out_{uuid.uuid4().hex[:12]}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    """Run a stream to its end into files of the shared folder, with its checkpoint beside them."""
+    run = f"{shared_root(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{run}/out").awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{run}/out")).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{run}/out")
 
 
 def _scan_stream(spark, sf):
@@ -39,20 +44,37 @@ def stream_breakdown(spark, sf):
     return _drain(spark, jobs.running_breakdown(_scan_stream(spark, sf)), "complete")
 
 
-@register("stream_first_lookups", "select distinct user_id as url from events")
+FIRST_LOOKUPS = """
+with recursive d as (select distinct user_id, epoch_us(ts) as ts from events where ts is not null),
+nx as (select user_id, ts, min(ts) over (
+  partition by user_id order by ts range between 900000001 following and unbounded following) as later from d),
+chain as (
+  select user_id, min(ts) as ts from d group by user_id
+  union all select nx.user_id, nx.later from chain join nx on chain.user_id = nx.user_id and chain.ts = nx.ts
+    where nx.later is not null)
+select user_id as url, ts from chain
+"""
+
+
+def _lookups(events):
+    return events.select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@register("stream_first_lookups", FIRST_LOOKUPS)
 def stream_lookups(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(spark, jobs.first_lookups(e), "append").select("url")
+    return _drain(spark, jobs.first_lookups(_lookups(_stream(spark, sf, "events"))), "append")
+
+
+@register("first_lookups", FIRST_LOOKUPS)
+def table_lookups(spark, sf):
+    return jobs.first_lookups(_lookups(I.table(spark, sf, "events")))
 
 
 @register("stream_scores", f"select page_id as id, page_id % 7 as user_id, risk_score, classification from ({PAGE_SQL})")
 def stream_scores(spark, sf):
-    import tempfile
-
     from webrisk.plans.score import ScoreOptions
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    run = f"{root}/scores-{uuid.uuid4().hex[:12]}"
+    run = f"{shared_root(spark)}/scores-{uuid.uuid4().hex[:12]}"
     pages = I.plant_snippets(_stream(spark, sf, "pages")).withColumns({
         "user_id": F.col("page_id") % 7, "ts": F.lit("2024-01-01").cast("timestamp")})
     query = jobs.score_stream(pages, f"{run}/history", f"{run}/checkpoint", options=ScoreOptions())

@@ -147,7 +147,9 @@ def _leading_literal(branch: str) -> str:
             if branch[i + 1].isalnum():
                 break
             out, i = out + branch[i + 1], i + 2
-        elif branch[i] in "([.*+?{|":
+        elif branch[i] in "?*{":
+            return out[:-1]  # the quantifier makes the character before it optional
+        elif branch[i] in "([.+|^$":
             break
         else:
             out, i = out + branch[i], i + 1

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def check_input(df: DataFrame, prob: str = "raw_prob", label: str = "label") -> None:
-    """Validate range, label values and presence of both classes in one pass."""
+def check_input(df: DataFrame, prob: str = "raw_prob", label: str = "label") -> int:
+    """Validate range, label values and presence of both classes in one pass; gives the number of rows."""
     p, y = F.col(prob), F.col(label)
     row = df.agg(
         F.count("*").alias("n"),
@@ -30,6 +30,7 @@ def check_input(df: DataFrame, prob: str = "raw_prob", label: str = "label") ->
     if row.pos == 0 or row.neg == 0:
         raise ValueError(
             f"Calibration set must contain both classes. Got {row.pos} positive and {row.neg} negative samples.")
+    return row.n
 
 
 @dataclass
@@ -59,20 +60,21 @@ def fit_calibrator(
     """Fit Platt scaling (logistic on one column, unit ridge) or isotonic regression."""
     if method not in ("platt", "isotonic"):
         raise ValueError(f"Invalid calibration method: {method}")
-    check_input(df, prob, label)
+    n = check_input(df, prob, label)
     data = df.select(F.col(prob).cast("double").alias(prob), F.col(label).cast("double").alias("_y"))
     if method == "platt":
         # a ridge of weight 1 on the summed loss is 1/n on Spark's mean loss
-        n = data.count()
         x = VectorAssembler(inputCols=[prob], outputCol="_x").transform(data)
         lr = LogisticRegression(
             featuresCol="_x", labelCol="_y", maxIter=1000, regParam=1.0 / n, elasticNetParam=0.0,
             standardization=False, probabilityCol="_probability", predictionCol="_prediction",
             rawPredictionCol="_raw")
         return Calibrator(method, lr.fit(x))
+    # rows of equal probability are pooled first: the fit gathers one weighted point per distinct value
+    points = data.groupBy(F.col(prob).alias("_x")).agg(F.avg("_y").alias("_y"), F.count("*").cast("double").alias("_n"))
     iso = IsotonicRegression(
-        featuresCol="_x", labelCol="_y", isotonic=True, predictionCol="_prediction")
-    return Calibrator(method, iso.fit(data.withColumn("_x", F.col(prob))))
+        featuresCol="_x", labelCol="_y", weightCol="_n", isotonic=True, predictionCol="_prediction")
+    return Calibrator(method, iso.fit(points))
 
 
 def calibration_error(

@@ -93,8 +93,7 @@ def candidate_targets(
         scored.withColumn("target_rank", F.row_number().over(w))
         .filter(F.col("target_rank") <= limit)
         .select(*keys, "target_rank", "selector", "match_no", "score",
-                F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("text"),
-                F.substring(F.coalesce("href", F.lit("")), 1, 200).alias("href"))
+                F.coalesce("text", F.lit("")).alias("text"), F.coalesce("href", F.lit("")).alias("href"))
     )
 
 

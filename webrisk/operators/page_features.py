@@ -20,13 +20,13 @@ def model_source_flags(df: DataFrame, html: str = "html") -> DataFrame:
     df = df.withColumn("_lower_source", F.lower(source))
     return df.withColumns({
         "pg_present": source != "",
-        "pg_info_email": T.contains_any(source, p["info_email"]),
+        "pg_info_email": source.rlike(p["info_email"]),
         "pg_status_bar": F.when(source.contains("onmouseover"), source.rlike(p["status_bar"])).otherwise(False),
         "pg_right_click": F.when(
             source.contains("event") | source.contains("contextmenu"), source.rlike(p["right_click"])
         ).otherwise(False),
         "pg_popup": source.contains(p["popup"]),
-        "pg_iframe": T.contains_any(source, p["iframe"]),
+        "pg_iframe": source.rlike(p["iframe"]),
         "pg_anchor_links": T.count_text(F.col("_lower_source"), p["anchor_links"]),
         "pg_names_host": F.col("_lower_source").contains(host),
     }).drop("_lower_source")

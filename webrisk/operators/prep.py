@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from webrisk.functions import urls as U
 
 HASH_BUCKET_DIGITS = 3  # 4096 buckets per group
-# row_number() <= n is pruned to n rows per group and task before the shuffle; beyond this n the
-# survivors of a hot group over many thousand tasks would be too many for one reducer
-PRUNABLE_LIMIT = 100
+FILE_BLOCK = 65536  # lines per bucket in load order
+COARSE_BLOCKS = 4096  # buckets per coarse bucket
 
 
 def sample_hash(seed: int, column: str = "url") -> Column:
@@ -32,52 +31,58 @@ def hash_bucket(digest: Column) -> Column:
 
 
 def group_rank(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rank_in_group"
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str = "rank_in_group",
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Exact 1-based rank within ``keys`` in the order (bucket, *order).
 
-    One shuffle on (keys, bucket) serves the counts and the ranks; the per-bucket
-    offsets are at most 4096 small rows per group. Also adds ``group_size``. With hash
-    buckets the rows should be unique by the hashed value (deduplicate first): copies
-    share a hash and therefore a bucket.
+    Rows are ranked inside their buckets and shifted by the counts of the buckets before. Counts
+    are running sums inside each coarse bucket plus running sums over the coarse buckets, so no
+    window holds more than a few thousand small rows however many buckets a group has. ``coarse`` must order like
+    ``bucket`` and be constant inside it. Also adds ``group_size``. With hash buckets the rows should be unique by the
+    hashed value (deduplicate first): copies share a hash and therefore a bucket.
     """
-    rows = df.withColumn("_bucket", bucket)
-    rows = rows.repartition(*keys, "_bucket")
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = counts.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("group_size"),
-    )
+    rows = df.withColumns({"_bucket": bucket, "_coarse": F.lit(0) if coarse is None else coarse})
+    counts = rows.groupBy(*keys, "_coarse", "_bucket").agg(F.count("*").alias("_n"))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    fine = counts.withColumn("_in_coarse", F.coalesce(
+        F.sum("_n").over(upto(*keys, "_coarse").orderBy("_bucket")), F.lit(0)))
+    tops = counts.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n")).select(
+        *keys, "_coarse",
+        F.coalesce(F.sum("_n").over(upto(*keys).orderBy("_coarse")), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"))
+    offsets = fine.join(tops, [*keys, "_coarse"]).select(
+        *keys, "_bucket", (F.col("_in_coarse") + F.col("_before")).alias("_offset"), "group_size")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_bucket"])
         .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset", "_bucket")
+        .drop("_inside", "_offset", "_bucket", "_coarse")
     )
 
 
 def top_per_group(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], n: int
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], n: int, coarse: Column | None = None
 ) -> DataFrame:
-    """First ``n`` rows of every group; small ``n`` is pruned map-side, large ``n`` ranked in buckets."""
-    if n <= PRUNABLE_LIMIT:
-        w = Window.partitionBy(*keys).orderBy(bucket, *order)
-        return df.withColumn("rank_in_group", F.row_number().over(w)).filter(F.col("rank_in_group") <= n)
-    ranked = group_rank(df, keys, bucket, order)
+    """First ``n`` rows of every group, ranked in buckets whatever ``n`` is."""
+    ranked = group_rank(df, keys, bucket, order, coarse=coarse)
     return ranked.filter(F.col("rank_in_group") <= n).drop("group_size")
 
 
+def load_buckets(file_col: str, line_col: str) -> tuple[Column, Column]:
+    """Buckets and coarse buckets of the load order (file, line)."""
+    part = lambda size: F.struct(F.col(file_col), F.floor(F.col(line_col) / size).alias("block"))
+    return part(FILE_BLOCK), part(FILE_BLOCK * COARSE_BLOCKS)
+
+
 def first_rows_per_source(
     df: DataFrame, n: int, source: str = "source_dataset", order: tuple[str, ...] = ("source_file", "line_no")
 ) -> DataFrame:
     """First ``n`` rows of each source in load order."""
     file_col, line_col = order
-    bucket = F.struct(F.col(file_col), F.floor(F.col(line_col) / 65536).alias("block"))
-    return top_per_group(df, [source], bucket, [F.col(line_col)], n).drop("rank_in_group")
+    bucket, coarse = load_buckets(file_col, line_col)
+    return top_per_group(df, [source], bucket, [F.col(line_col)], n, coarse).drop("rank_in_group")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -150,8 +155,8 @@ def train_test_sample(df: DataFrame, train: int, test: int, balance: bool = True
             [digest, F.col("url")], k + m)
         split = F.when(F.col("rank_in_group") <= k, "train").otherwise("test")
         return ranked.withColumn("split", split).drop("rank_in_group")
-    bucket = F.struct(F.col("source_file"), F.floor(F.col("line_no") / 65536).alias("block"))
-    ranked = group_rank(df, ["source_dataset"], bucket, [F.col("line_no")])
+    bucket, coarse = load_buckets("source_file", "line_no")
+    ranked = group_rank(df, ["source_dataset"], bucket, [F.col("line_no")], coarse=coarse)
     cut = F.floor(F.col("group_size") * F.lit(train / (train + test)))
     split = F.when(F.col("rank_in_group") <= cut, "train").when(
         F.col("rank_in_group") <= cut + test, "test")
@@ -182,15 +187,13 @@ def balance_training(df: DataFrame, ratio: float = 0.6) -> DataFrame:
     The rank within a label is also the rank within its train rows, so the cut is a filter.
     """
     train = df.filter(F.col("split") == "train")
-    p = train.agg(F.count_if(F.col("label") == 1)).scalar()
-    b = train.agg(F.count_if(F.col("label") == 0)).scalar()
+    p, b = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
     target_b = F.floor(p * F.lit(1 - ratio) / F.lit(ratio))
     target_p = F.floor(b * F.lit(ratio) / F.lit(1 - ratio))
-    too_many_b = b > target_b
-    limit = (
-        F.when(too_many_b & (F.col("label") == 0), target_b)
-        .when(~too_many_b & (F.col("label") == 1), target_p)
-    )
+    # one aggregate, used once: label -> rows of its train split that stay
+    limits = train.agg(F.create_map(
+        F.lit(0), F.when(b > target_b, target_b), F.lit(1), F.when(b <= target_b, target_p))).scalar()
+    limit = F.try_element_at(limits, F.col("label").cast("int"))
     keep = (F.col("split") != "train") | limit.isNull() | (F.col("rank_in_group") <= limit)
     return df.filter(keep)
 

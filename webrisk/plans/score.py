@@ -171,7 +171,8 @@ def score_texts(
         "dom_signals": no_signals(), "analytics_context": F.lit(False),
     })
     df = url_rules.with_url_signals(url_rules.with_url_context(df))
-    df = text_rules.with_content_signals(df, "_text")
+    df = df.withColumn("_gate", text_rules.phrase_gate(F.lower("_text")))
+    df = text_rules.with_content_signals(df, "_text", "_gate")
     df = _text_score(E.with_context_flags(df, "_text"), [])
     df = E.suppress(E.with_domain_trust(df))
     return _finish(df, keys, o, [], started_at, has_url=False)

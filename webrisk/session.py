@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """Folder that all executors share, as named in spark.checkpoint.dir.
+
+    Only a local session, whose executors are threads of one machine, gets a temporary one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("webrisk")

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from webrisk.functions import text as T
 from webrisk.operators.history import history_rows
 from webrisk.plans.score import ScoreOptions, score_pages
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for checkpoints, as named by the cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not found:
-        raise ValueError("Set spark.checkpoint.dir to a shared folder, or give a checkpoint location")
-    return found
-
-
 def score_stream(
     pages: DataFrame, history_path: str, checkpoint: str, user_column: str = "user_id",
     id_column: str = "page_id", time_column: str = "ts", options: ScoreOptions | None = None,
@@ -26,18 +21,19 @@ def score_stream(
 ) -> StreamingQuery:
     """Score a page stream and store scan history.
 
-    Each batch overwrites its own ``batch_id`` partition, so a replayed batch after a
+    Scoring is stateless, so its plan is built once on the stream; a batch only writes. Each batch overwrites its own ``batch_id`` partition, so a replayed batch after a
     failure writes the same rows again instead of duplicates.
     """
     keys = [id_column, user_column, time_column]
 
+    scored = score_pages(pages, keys=keys, options=options)
+    rows = history_rows(scored, F.col(user_column), F.col(id_column), F.col(time_column), "url")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_pages(batch, keys=keys, options=options)
-        rows = history_rows(scored, F.col(user_column), F.col(id_column), F.col(time_column), "url")
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(history_path)
 
-    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -52,10 +48,49 @@ def running_breakdown(scans: DataFrame) -> DataFrame:
         F.count("*").alias("count"), T.py_round(F.avg("risk_score"), 2).alias("avg_risk_score"))
 
 
-def first_lookups(lookups: DataFrame, ttl: str = "15 minutes", key: str = "url", ts: str = "ts") -> DataFrame:
-    """First lookup per key within the time to live.
+def _misses(times: np.ndarray, last: int | None, ttl: int) -> list[int]:
+    """Of ascending times those not within ``ttl`` of the last miss; a time exactly ``ttl`` later is a hit."""
+    out, i = [], 0
+    while True:
+        i = int(np.searchsorted(times, last + ttl, "right")) if last is not None else i
+        if i >= len(times):
+            return out
+        last = int(times[i])
+        out.append(last)
+
+
+def first_lookups(lookups: DataFrame, ttl_seconds: int = 900, key: str = "url", ts: str = "ts") -> DataFrame:
+    """Lookups that a cache with a restarting time to live does not answer: (key, ts in microseconds).
 
-    State is dropped with the watermark. Unlike a restarting time to live, a repeat is
-    measured from the first row kept in state.
+    A miss stores the answer for ``ttl_seconds``; a lookup later than that is the next miss. Works on tables and on
+    streams and gives the same rows whatever the micro-batches are, as long as time does not run backwards between them.
+    State is one time per key, dropped when the watermark passes its end: the next lookup is a miss either way. In a
+    table, equal times of a key count once before they are grouped.
     """
-    return lookups.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    ttl = ttl_seconds * 1_000_000
+    kind = lookups.schema[key].dataType.simpleString()
+    rows = lookups.select(F.col(key).alias("key"), F.col(ts).alias("ts"))
+    if not lookups.isStreaming:
+        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = _misses(np.sort(pdf["us"].to_numpy()), None, ttl)
+            return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(out), "ts": out})
+
+        distinct = rows.select("key", F.unix_micros("ts").alias("us")).where("us is not null").distinct()
+        found = distinct.groupBy("key").applyInPandas(fold, f"key {kind}, ts long")
+    else:
+        def step(who, parts, state):
+            times = [p["us"].to_numpy() for p in parts]
+            last = state.get[0] if state.exists else None
+            if state.hasTimedOut:
+                state.remove()
+                return
+            out = _misses(np.unique(np.concatenate(times)), last, ttl)
+            last = out[-1] if out else last
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
+            yield pd.DataFrame({"key": [who[0]] * len(out), "ts": out})
+
+        timed = rows.where("ts is not null").withWatermark("ts", f"{ttl_seconds} seconds").select("key", "ts", F.unix_micros("ts").alias("us"))
+        found = timed.groupBy("key").applyInPandasWithState(
+            step, f"key {kind}, ts long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("key").alias(key), "ts")
