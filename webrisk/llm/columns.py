@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webrisk.session import shared_root
+
 #: White space of all operators: space and the controls from tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -36,25 +40,9 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext.getCheckpointDir()
-        if context:
-            return context
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

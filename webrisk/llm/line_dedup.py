@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrisk.llm import columns as C
+from webrisk.session import shared_root
 
 RUN = "h1 long, h2 long, n_docs long, owner long"
 
@@ -30,7 +31,7 @@ class LineStore:
 
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
-        self.root = f"{(root or C.shared_folder(spark)).rstrip('/')}/lines-{uuid.uuid4().hex[:12]}"
+        self.root = f"{root or shared_root(spark)}/lines-{uuid.uuid4().hex[:12]}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, list[str]] = {}
 
@@ -41,9 +42,13 @@ class LineStore:
          .format("parquet").saveAsTable(name))
         self.levels.setdefault(level, []).append(name)
 
+    def _rows(self, name: str) -> DataFrame:
+        """A run's rows read by path: a union of bucketed tables may be grouped without the exchange that it needs."""
+        return self.spark.read.schema(RUN).parquet(f"{self.root}/{name}")
+
     def runs(self) -> DataFrame:
         """All runs, merged key by key."""
-        found = [self.spark.table(n) for names in self.levels.values() for n in names]
+        found = [self._rows(n) for names in self.levels.values() for n in names]
         if not found:
             return self.spark.createDataFrame([], RUN)
         return self._merge(found)
@@ -78,7 +83,7 @@ class LineStore:
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             names = self.levels.pop(level)
-            self._write(self._merge([self.spark.table(n) for n in names]), level + 1)
+            self._write(self._merge([self._rows(n) for n in names]), level + 1)
             for n in names:
                 self.spark.sql(f"drop table {n}")
             level += 1
