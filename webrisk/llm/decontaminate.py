@@ -73,7 +73,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: tuple[int, int] = (4, 5
     if met is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, row long, item_id long, n_found long, n_item long")
     candidates = met.distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    words = _worded(docs.where(F.col("doc_id").isNotNull()), key).join(candidates, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    # texts are joined, not their words: a text is smaller
+    texts = docs.where(F.col("doc_id").isNotNull()).select(*key, text.alias("text")).join(candidates, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    words = _worded(texts, [F.col("doc_id"), F.col("row"), F.col("items")])
     all_widths = F.array_distinct(F.concat(*[_strings(k) for k in sorted(facts[1])]))
     pairs = words.select("doc_id", "row", all_widths.alias("held"), F.explode("items").alias("item_id")).join(
         sketches.select("item_id", "shingles", "n"), "item_id")
