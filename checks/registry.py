@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from checks import q_urls, q_pages, q_texts, q_evidence, q_intel, q_prep, q_eval, q_stream, q_files  # noqa: E402,F401
+from checks import q_urls, q_pages, q_features, q_texts, q_evidence, q_intel, q_prep, q_eval, q_stream, q_files  # noqa: E402,F401
