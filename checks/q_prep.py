@@ -236,30 +236,47 @@ def standardize(spark, sf):
         "url", F.round(vector_to_array("features")[0], 6).alias("z_url_length"))
 
 
-@register("logistic_baseline")
+HALVES = D1 + f""", h as (select url, label, row_number() over (partition by label order by {H}, url) as r,
+  count(*) over (partition by label) as n from d1), test as (select url, label from h where r > floor(n * 0.75 + 0.5))"""
+
+
+def _judged(rows):
+    """Held-out rows, whether their probability is one, and whether the prediction follows it."""
+    p = F.col("phishing_probability")
+    return rows.select("url", "label", p.between(0, 1).alias("is_probability"), (
+        (F.col("predicted_label") == 1) == (p > 0.5)).alias("follows"))
+
+
+@register("logistic_baseline", HALVES + " select url, label, true as is_probability, true as follows, true as fitted from test")
 def logistic(spark, sf):
     rows = ml.balanced_weights(ml.stratified_halves(training_table(spark, sf)))
-    model = ml.logistic_pipeline(FEATURES, weight="weight").fit(rows.filter("split = 'train'"))
-    return ml.model_metrics(ml.predict(model, rows.filter("split = 'test'")))
+    train = rows.filter("split = 'train'")
+    model = ml.logistic_pipeline(list(K.FEATURES40), weight="weight").fit(train)
+    # at the optimum the weighted residuals of an unpenalised fit sum to zero
+    rest = ml.predict(model, train).agg(F.abs(F.sum(F.col("weight") * (F.col("phishing_probability") - F.col("label")))) / F.count("*"))
+    return _judged(ml.predict(model, rows.filter("split = 'test'"))).withColumn("fitted", rest.scalar() < 1e-3)
 
 
-@register("random_forest")
+@register("random_forest", HALVES + " select url, label, true as is_probability, true as follows from test")
 def forest(spark, sf):
     rows = ml.stratified_halves(training_table(spark, sf))
-    model = ml.forest_pipeline(FEATURES, trees=20, depth=8).fit(rows.filter("split = 'train'"))
-    return ml.model_metrics(ml.predict(model, rows.filter("split = 'test'")))
+    model = ml.forest_pipeline(list(K.FEATURES40)).fit(rows.filter("split = 'train'"))
+    return _judged(ml.predict(model, rows.filter("split = 'test'")))
 
 
-@register("forest_importance")
+@register("forest_importance", "select unnest([" + ", ".join(f"'{n}'" for n in K.FEATURES40) + "]) as feature, true as is_share, true as sums_to_one")
 def importance(spark, sf):
     rows = training_table(spark, sf)
-    model = ml.forest_pipeline(list(K.FEATURES40), trees=10, depth=5).fit(rows)
-    return ml.feature_importance(spark, model, K.FEATURES40)
+    model = ml.forest_pipeline(list(K.FEATURES40)).fit(rows)
+    out = ml.feature_importance(spark, model, K.FEATURES40, top=len(K.FEATURES40))
+    total = out.agg(F.sum("importance")).scalar()
+    return out.select("feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 @register("model_search")
 def search(spark, sf):
-    train = ml.stratified_halves(training_table(spark, sf)).filter("split = 'train'")
+    halves = ml.stratified_halves(training_table(spark, sf))
+    train = halves.filter("split = 'train'")
     # folds, weights and features once; every fit reads the stored columns
     rows = ml.with_folds(ml.balanced_weights(train.drop("rank_in_group")), 2).select(
         "url", "label", "weight", "fold", *FEATURES).persist()
@@ -268,8 +285,9 @@ def search(spark, sf):
         ml.random_search("gradient_boosting", rows, FEATURES, {"maxIter": [2], "maxDepth": [2]}, draws=1, folds=2),
     ]
     best = ml.select_best(found)
-    out = ml.model_metrics(ml.predict(ml.retrain(best, rows), rows)).withColumn("model", F.lit(best.name))
-    return out
+    model = ml.retrain(best, rows)
+    rows.unpersist()
+    return ml.model_metrics(ml.predict(model, halves.filter("split = 'test'"))).withColumn("model", F.lit(best.name))
 
 
 @register("platt_calibration")
