@@ -4,8 +4,9 @@
 2. Noisy channel: tokens with leetspeak, letters spaced out, or letters repeated three times and more become
    lattices: each run of a sign can stand for itself, for the letters it imitates, or for one or two copies. Viterbi
    takes the path that the channel and the language model together find likeliest.
-3. Restored texts are described by their words and word beginnings (hashed, presence only) and scored with a logistic
-   regression, fitted with Spark ML on at most TRAIN_ROWS labelled rows.
+3. Restored texts are described by their short words and word beginnings (hashed, presence only). The features that speak
+   most clearly for the label are kept and weighed by a logistic regression, fitted with Spark ML on at most TRAIN_ROWS
+   labelled rows.
 
 Whole texts are decoded and scored; only the fit is bounded. Defined results: null and empty texts are scored from
 the intercept alone; rows that repeat a doc_id are scored one by one; repeated labels of a document count as the
@@ -32,6 +33,8 @@ from webrisk.llm.wordhash import _BYTE, Words, _powers, mix, text_bytes, words_o
 TRAIN_ROWS = 20_000
 #: Hash buckets of the features: a few times the number of word beginnings, so that few share one.
 DIMENSIONS = 1 << 20
+#: Features that the regression sees: those that speak most clearly for the label among the training rows.
+SELECTED = 512
 BEGINNINGS = (3, 4, 5, 6)
 #: Fixed alphabet of the language model: word edge, any other sign, and the letters of Western European languages.
 ALPHABET = "\x00\x01abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -235,15 +238,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
             yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.float64()), _lists(features(restored))], ["label", "buckets"])
 
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.functions import array_to_vector
 
     rows = C.stored(texts.mapInArrow(described, "label double, buckets array<long>"), "toxic-train")
+    # how far a feature's toxic rows exceed their expected number, in standard deviations
+    base = toxic / total
+    n = F.count("*")
+    clear = (rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket")
+             .agg(((F.sum("label") - n * base) / F.sqrt(n * base * (1 - base))).alias("z"))
+             .orderBy(F.desc("z"), "bucket").limit(SELECTED).collect())
+    chosen_buckets = np.array(sorted(r.bucket for r in clear), np.int64)
+
+    def presence(batches):
+        for batch in batches:
+            seen = [np.isin(chosen_buckets, b.values.to_numpy(zero_copy_only=False)).astype(float) for b in batch.column("buckets")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(seen, pa.list_(pa.float64()))], ["label", "x"])
+
     # both kinds weigh the same in total, so that the threshold of 0.5 lies between them
     weight = F.when(F.col("label") > 0, F.lit((total - toxic) / toxic)).otherwise(1.0)
-    sparse = F.udf(lambda b: Vectors.sparse(DIMENSIONS, b, [1.0] * len(b)), VectorUDT())
-    fitted = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False, weightCol="weight").fit(rows.select(
-        "label", weight.alias("weight"), sparse("buckets").alias("features")))
-    return ToxicityModel(lm, fitted.coefficients.toArray().astype(np.float32), float(fitted.intercept))
+    dense = C.stored(rows.mapInArrow(presence, "label double, x array<double>"), "toxic-dense")
+    fitted = LogisticRegression(maxIter=100, regParam=3e-4, standardization=False, weightCol="weight").fit(
+        dense.select("label", weight.alias("weight"), array_to_vector("x").alias("features")))
+    weights = np.zeros(DIMENSIONS, np.float32)
+    weights[chosen_buckets] = fitted.coefficients.toArray()
+    return ToxicityModel(lm, weights, float(fitted.intercept))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
