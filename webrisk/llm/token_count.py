@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 ROWS = 512
 SLICE = 1 << 22
 CHUNK = 2048
-STATES = 150_000
+STATES = 400_000
 
 # character classes of the splitter; each has a variant for the first character of a text
 LETTER, NUMBER, OTHER, SHORT, LONG, BLANK_IN, SPACE_LAST, BLANK_LAST = range(8)
@@ -139,6 +139,8 @@ class Counter:
         for k, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.ranks[bytes(letters[c] for c in a), bytes(letters[c] for c in b)] = k
+        #: the merge that makes each token: (rank, halves)
+        self.made = {a + b: (k, (a, b)) for (a, b), k in self.ranks.items()}
         self.beginnings = {v[:i] for v in self.vocabulary for i in range(1, len(v) + 1)}
         self.valid: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
@@ -190,25 +192,47 @@ class Counter:
         return parts
 
     def adjacent(self, a: bytes | None, b: bytes) -> bool:
+        """Whether the two tokens stand when their bytes are encoded together: no merge across their border comes first.
+
+        The merge that made the border sides is undone from the latest on; at every stage the two sides that face each
+        other must not be a pair that would have been merged before the later of the merges undone so far.
+        """
+        if a is None:
+            return True
         pair = (a, b)
         known = self.valid.get(pair)
         if known is None:
-            known = self.valid[pair] = self.encode((a or b"") + b) == ([b] if a is None else [a, b])
+            known = self.valid[pair] = self._stands(a, b)
         return known
 
+    def _stands(self, a: bytes, b: bytes) -> bool:
+        until = 1 << 40  # rank before which a merge of the border pair would have come; ties go to the left pair
+        while True:
+            if self.ranks.get((a, b), 1 << 40) < until:
+                return False
+            ra, rb = self.made.get(a, (-1, None))[0], self.made.get(b, (-1, None))[0]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                until, a = ra, self.made[a][1][1]
+            else:
+                until, b = rb + 1, self.made[b][1][0]
+
     def _compile(self, state: int, byte: int) -> None:
         """last: for every place in the suffix, oldest first, the last token up to it and its count relative to now."""
         suffix, last = self.keys[state]
         read = suffix + bytes([byte])
         token = count = None
         for i in range(len(read)):  # the token that ends here: longest first, and only one fits
-            if read[i:] in self.vocabulary and self.adjacent(last[i][0], read[i:]):
+            if last[i] is not None and read[i:] in self.vocabulary and self.adjacent(last[i][0], read[i:]):
                 token, count = read[i:], last[i][1] + 1
                 break
         keep = 0
         while read[keep:] not in self.beginnings and keep < len(read):
             keep += 1
-        window = [(t, c - count) for t, c in last[keep:]] + [(token, 0)]
+        # places from which no vocabulary entry can go on are forgotten, so that states which differ only there are one
+        window = [(x[0], x[1] - count) if x is not None and read[i:] in self.beginnings else None
+                  for i, x in enumerate(last[keep:], keep)] + [(token, 0)]
         to = self._number((read[keep:], tuple(window)))
         column = self.columns[byte]
         self.next[state, column], self.delta[state, column] = to, count
