@@ -186,8 +186,11 @@ def read_corpus(spark: SparkSession, path, multi_line: bool = True) -> DataFrame
     })
 
 
-def read_json_urls(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """Page corpus as standard URL records; unknown labels become -1."""
+def read_json_urls(spark: SparkSession, path, multi_line: bool = True, keep_invalid: bool = False) -> DataFrame:
+    """Page corpus as standard URL records; unknown labels become -1.
+
+    Records without a usable URL, broken ones among them, are dropped or kept with a NULL url.
+    """
     df = spark.read.schema(CORPUS_DDL).option("multiLine", multi_line).json(path).select(
         "*", F.col("_metadata.file_path").alias("source_file"),
         scan_position().alias("line_no"))
@@ -198,13 +201,13 @@ def read_json_urls(spark: SparkSession, path, multi_line: bool = True) -> DataFr
         F.when(text == "malicious", 1).when(text == "benign", 0).otherwise(-1).alias("label"),
         text.alias("label_text"), file_stem(F.col("source_file")).alias("source_dataset"),
         F.coalesce("url", F.lit("")).alias("raw_value"), "source_file", "line_no",
-    ).filter("url is not null")
+    ).filter(F.lit(keep_invalid) | F.col("url").isNotNull())
 
 
 def _json_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array or JSON lines, told apart by the first character of the file."""
-    first = spark.read.text(path).limit(1).first()
-    return read_json_urls(spark, path, bool(first) and first[0].lstrip().startswith("["))
+    """JSON array or JSON lines, told apart by the first sign of the file; broken records are kept for the summary."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
+    return read_json_urls(spark, path, bool(first) and first[0].lstrip().startswith("["), keep_invalid=True)
 
 
 def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
@@ -222,7 +225,8 @@ def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
 
 def load_all(spark: SparkSession, root: str, warn=print) -> tuple[DataFrame, DataFrame]:
     """All dataset files below a folder: merged records (first row per url wins), and the
-    per-file summary. A file that cannot be read is reported and skipped."""
+    per-file summary. A file that cannot be read is reported and skipped; records that cannot be read
+    are counted as invalid rows of their file."""
     from webrisk.operators.prep import dedupe_urls, load_summary
 
     parts = []
