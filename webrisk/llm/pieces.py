@@ -9,7 +9,8 @@ of the best sum.
    which meet the piece table; the edges are grouped by word and folded with `aggregate`. The state is the set of
    places where the word is cut, as bits of a long, with the edges that can still be taken.
 3. The table of cuts, of bounded size, is sent to all tasks, which map texts to ids. Rare words are not worth a
-   shuffle (it would move one row per text and rare word, several times the text): each task merges those it meets.
+   shuffle (it would move one row per text and rare word, several times the text): each task cuts those it meets where no
+   piece can cross, takes frequent parts from the table and merges the rest.
 
 Decoding maps ids to pieces, byte pieces to bytes, and blanks back. It returns the text itself unless that holds
 the blank sign, which comes back as a space.
@@ -66,9 +67,34 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.surface[i] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.ids))
+        #: pairs of signs that stand side by side in some piece
+        self.inner = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    def segments(self, word: str) -> list[str]:
+        """The word cut where no piece holds the two signs side by side: no merge crosses such a place."""
+        inner = self.inner
+        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inner]
+        return [word[x:y] for x, y in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def merge(self, text: str) -> list[str]:
-        """Merges by score, leftmost first, over a heap of neighbouring parts."""
+        """Merges by score, leftmost first."""
+        if len(text) > MASK:
+            return self._merge_long(text)
+        get, none = self.scores.get, -np.inf
+        parts = list(text)
+        rated = [get(text[i:i + 2], none) for i in range(len(text) - 1)]
+        while rated and (best := max(rated)) > none:
+            i = rated.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del rated[i]
+            if i:
+                rated[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(rated):
+                rated[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _merge_long(self, text: str) -> list[str]:
+        """The same over a heap of neighbouring parts, for long texts."""
         n = len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         part: list[str | None] = list(text)
@@ -194,7 +220,10 @@ def encode(docs: DataFrame, path: str, column: str = "text", sent_words: int = S
             if found is None:
                 if len(rare) > FLUSH:
                     rare.clear()
-                found = rare[word] = vocab.numbers(vocab.merge(word))
+                found = []
+                for part in vocab.segments(word):
+                    found += common.get(part) or rare.get(part) or rare.setdefault(part, vocab.numbers(vocab.merge(part)))
+                rare[word] = found
             return found
 
         for whole in batches:
