@@ -35,6 +35,8 @@ TRAIN_ROWS = 20_000
 DIMENSIONS = 1 << 20
 #: Features that the regression sees: those that speak most clearly for the label among the training rows.
 SELECTED = 512
+#: Toxic rows of a feature, and standard deviations by which they must exceed their expected number.
+LEAST_ROWS, LEAST_EXCESS = 5, 5.0
 BEGINNINGS = (3, 4, 5, 6)
 #: Fixed alphabet of the language model: word edge, any other sign, and the letters of Western European languages.
 ALPHABET = "\x00\x01abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -225,11 +227,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     """labels: doc_id, toxic; at most train_rows of them are used, chosen by hash."""
     lm = language_model(docs)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
-    total, toxic = known.agg(F.count("*"), F.sum("label")).first()
-    if not toxic or toxic == total:
-        share = (toxic or 0) / total if total else 0.0
-        return ToxicityModel(lm, np.zeros(DIMENSIONS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    parts = -(-total // train_rows)
+    parts = max(1, -(-known.count() // train_rows))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -241,11 +239,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     from pyspark.ml.functions import array_to_vector
 
     rows = C.stored(texts.mapInArrow(described, "label double, buckets array<long>"), "toxic-train")
+    total, toxic = rows.agg(F.count("*"), F.sum("label")).first()
+    if not toxic or toxic == total:
+        share = (toxic or 0) / total if total else 0.0
+        return ToxicityModel(lm, np.zeros(DIMENSIONS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     # how far a feature's toxic rows exceed their expected number, in standard deviations
     base = toxic / total
     n = F.count("*")
     clear = (rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket")
-             .agg(((F.sum("label") - n * base) / F.sqrt(n * base * (1 - base))).alias("z"))
+             .agg(((F.sum("label") - n * base) / F.sqrt(n * base * (1 - base))).alias("z"), F.sum("label").alias("n"))
+             .where((F.col("z") >= LEAST_EXCESS) & (F.col("n") >= LEAST_ROWS))
              .orderBy(F.desc("z"), "bucket").limit(SELECTED).collect())
     chosen_buckets = np.array(sorted(r.bucket for r in clear), np.int64)
 
