@@ -246,11 +246,20 @@ def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     names = schema.names[:-1]
 
     def run(batches):
-        surface = vocabulary(path).surface
+        vocab = vocabulary(path)
+        size = np.array([len(b) for b in vocab.surface], np.int64)
+        begin = np.cumsum(size) - size
+        signs = np.frombuffer(b"".join(vocab.surface), np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [b"".join([surface[i] for i in ids or ()]).decode("utf-8", "replace")[1:] for ids in batch.column("ids").to_pylist()]
+                lists = batch.column("ids").fill_null([])
+                ids, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+                each = size[ids]
+                ends = np.cumsum(each)
+                raw = signs[np.repeat(begin[ids] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+                cut = np.r_[0, ends][np.r_[0, np.cumsum(lengths)]]
+                texts = [raw[x:y].decode("utf-8", "replace")[1:] for x, y in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], schema.names)
 
     return encoded.drop(column).mapInArrow(run, schema)
