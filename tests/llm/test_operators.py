@@ -236,6 +236,15 @@ def test_quality_counts(docs, dirty, nothing):
     assert {r.kept for r in judge(dirty.where("text is null"), PIECES).collect()} == {False}
 
 
+def test_quality_bands_decide(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = judge(docs, PIECES).join(labels, "doc_id").where(~F.col("base_failed")).collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert kept[0] and sum(kept[0]) <= 0.5 * len(kept[0])
+    assert kept[1] and sum(kept[1]) >= 0.97 * len(kept[1])
+
+
 # --- substrings
 
 def brute_substrings(texts):

@@ -1,8 +1,11 @@
-"""Quality rules: text counts, and tokeniser fertility with rejection bands per language or script.
+"""Quality rules: text counts, and tokeniser fertility with rejection bands per language or script, taken from the corpus.
 
 Fertility is measured with a public sentencepiece vocabulary: characters per token, share of byte-fallback tokens and
-entropy of the tokens in bits. A text is rejected when a measure leaves the band of its language; where the
-language has no band, the band of the script most of its characters are written in applies.
+entropy of the tokens in bits. All three depend on the language and, for short texts, on the length, so the bands are
+the quartiles of the corpus' own texts per language and length class, widened by a multiple of the quartile distance.
+Where fewer than LEAST_TEXTS different texts speak for a class, the language over all lengths counts, then the script
+most characters are written in (by class, then over all lengths), then a fixed wide band. Texts that fail the base rules
+and copies (equal measures) don't speak. A class of which a quarter or more is junk widens to hold that junk.
 
 Defined results: null and empty texts have no words, zero counts, fertility 0 and are rejected for length; a null or
 unknown language falls back to the script; rows that repeat a doc_id are judged one by one; an empty table gives an
@@ -18,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webrisk.llm import columns as C
 from webrisk.llm.columns import WHITE
 from webrisk.llm.wordhash import chained, text_bytes, words_of
 
 WINDOW = 8
 ROWS = 128
+#: Words of a text, at least.
+LEAST_WORDS = 20
 
 
 @dataclass(frozen=True)
@@ -35,11 +41,13 @@ class Band:
     entropy_least: float
 
 
-#: Measured on running prose of the languages and widened by about a third on either side.
-LANGUAGE_BANDS = {
-    "en": Band(1.4, 6.5, 0.12, 2.5), "de": Band(1.3, 6.0, 0.12, 2.5),
-    "fr": Band(1.2, 6.0, 0.12, 2.5), "es": Band(1.2, 6.0, 0.12, 2.5),
-}
+#: Different texts that a band needs.
+LEAST_TEXTS = 50
+#: Quartile distances by which a band exceeds the quartiles: characters per token and entropy; byte share.
+WIDER, WIDER_BYTES = 2.0, 3.0
+#: Least quartile distance: share of the median (characters per token, entropy); byte share.
+LEAST_SPREAD, LEAST_SPREAD_BYTES = 0.01, 0.005
+#: Wide bands for corpora too small to tell their own.
 SCRIPT_BANDS = {
     "latin": Band(1.1, 6.5, 0.15, 2.5), "cyrillic": Band(0.9, 5.0, 0.2, 2.5),
     "east asian": Band(0.3, 2.5, 0.8, 2.5), "other": Band(0.25, 5.0, 0.9, 2.0),
@@ -161,9 +169,36 @@ def _within(bands: dict[str, Band], column: str):
     return inside
 
 
+def _keys():
+    """From the closest to the widest: names of the bands that can hold a text; null without a language."""
+    size = F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(LEAST_WORDS)))).cast("string")
+    return [F.concat(F.lit(kind), F.col(column), F.lit("/"), of) for kind, column in (("l:", "lang"), ("s:", "script")) for of in (size, F.lit("all"))]
+
+
+def corpus_bands(measured: DataFrame) -> DataFrame:
+    """(key, low, high, bytes_most, entropy_least) of every language, script and length class with enough texts."""
+    different = measured.where(~_base_failed()).select("lang", "script", "n_words", "chars_per_token", "byte_share", "token_entropy").distinct()
+    quartiles = {m: F.percentile_approx(m, [0.25, 0.5, 0.75]) for m in ("chars_per_token", "byte_share", "token_entropy")}
+    of = different.withColumn("key", F.explode(F.array(*_keys()))).where("key is not null").groupBy("key").agg(
+        F.count("*").alias("n"), *[q.alias(m) for m, q in quartiles.items()]).where(F.col("n") >= LEAST_TEXTS)
+    wide = lambda m: WIDER * F.greatest(F.col(m)[2] - F.col(m)[0], LEAST_SPREAD * F.col(m)[1])
+    return of.select(
+        "key", (F.col("chars_per_token")[0] - wide("chars_per_token")).alias("low"), (F.col("chars_per_token")[2] + wide("chars_per_token")).alias("high"),
+        (F.col("byte_share")[2] + WIDER_BYTES * F.greatest(F.col("byte_share")[2] - F.col("byte_share")[0], F.lit(LEAST_SPREAD_BYTES))).alias("bytes_most"),
+        (F.col("token_entropy")[0] - wide("token_entropy")).alias("entropy_least"))
+
+
+def _base_failed():
+    return (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
 def judge(docs: DataFrame, model_path: str) -> DataFrame:
     """The measures with base_failed, fertile (inside its band) and kept."""
-    out = measure(docs, model_path)
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    fertile = F.coalesce(_within(LANGUAGE_BANDS, "lang"), _within(SCRIPT_BANDS, "script"))
-    return out.select("*", failed.alias("base_failed"), fertile.alias("fertile"), (~failed & fertile).alias("kept"))
+    out = C.stored(measure(docs, model_path), "quality-measures")
+    bands = corpus_bands(out).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("low", "high", "bytes_most", "entropy_least")))).alias("bands"))
+    band = F.coalesce(*[F.col("bands")[k] for k in _keys()])
+    held = out.crossJoin(F.broadcast(bands)).withColumn("band", band).drop("bands")
+    own = (F.col("chars_per_token").between(F.col("band.low"), F.col("band.high")) & (F.col("byte_share") <= F.col("band.bytes_most"))
+           & (F.col("token_entropy") >= F.col("band.entropy_least")))
+    fertile = F.coalesce(own, _within(SCRIPT_BANDS, "script"))
+    return held.withColumns({"base_failed": _base_failed(), "fertile": fertile}).withColumn("kept", ~F.col("base_failed") & F.col("fertile")).drop("band")
