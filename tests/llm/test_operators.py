@@ -219,6 +219,18 @@ def test_licences(spark, dirty, nothing):
     assert scan_licences(dirty).count() == len(DIRTY) and scan_licences(nothing).count() == 0
 
 
+def test_licence_sentences_with_changed_words(spark):
+    whole = "Redistribution and use in source and binary forms with or without modification are permitted".split()
+    texts = ["so " + " ".join(w) + " end" for w in (
+        whole, whole[:9] + whole[10:], whole[:6] + ["also"] + whole[6:], whole[:6] + ["other"] + whole[7:], whole[:4] + whole[5:8] + ["x"] + whole[8:], whole + whole[:9] + whole[10:])]
+    texts.append(" ".join(whole[7:] + whole[:7]) + " words " * 30 + " ".join(whole[:7]))
+    out = {r.doc_id: r.spans for r in scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = {i: [(s.label, s.first, s.last, round(s.share * 13)) for s in out[i]] for i in out}
+    assert found[0] == [("bsd", 1, 14, 13)] and found[1] == [("bsd", 1, 13, 11)]
+    assert found[2] == [("bsd", 1, 15, 12)] and found[3] == [("bsd", 1, 14, 11)] and found[4] == [("bsd", 1, 14, 10)]
+    assert sorted(found[5]) == [("bsd", 1, 14, 13), ("bsd", 15, 27, 11)] and found[6] == []
+
+
 def test_quality_counts(docs, dirty, nothing):
     rows = {r.doc_id: r for r in judge(docs, PIECES).collect()}
     for d in docs.collect():

@@ -2,9 +2,10 @@
 
 Templates are phrases and licence sentences. Every rolling word k-gram of a text is hashed; the hashes are joined with
 the positions of the templates' k-grams. A match at word p of the text and position t of a template votes for the
-diagonal p - t. A diagonal with all k-grams of a phrase is a place of that phrase. For sentences, neighbouring
-diagonals (shifted by an inserted or dropped word) are merged into a span, and the span is verified by the share of the
-template's k-grams found in it, in order.
+diagonal p - t. A diagonal with all k-grams of a phrase is a place of that phrase. For sentences, matches are chained
+along the text: positions grow in the text and in the template, and the diagonal moves by at most DRIFT words at a step
+(an inserted word makes it larger, a dropped word smaller). The longest chains that don't overlap are the spans, verified
+by the share of the template's k-grams in them.
 
 Before the join, k-grams that occur in no template are left out in the task that hashes them; the template table is the
 bounded side (a few hundred rows).
@@ -56,7 +57,7 @@ SENTENCES = (
     LicenceTemplate("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     LicenceTemplate("reserved", "All rights reserved."),
 )
-#: Share of a sentence's k-grams that a span must hold, and words by which neighbouring diagonals may differ.
+#: Share of a sentence's k-grams that a span must hold, and words by which the diagonal may move at a step.
 LEAST_SHARE = 0.75
 DRIFT = 3
 
@@ -107,38 +108,55 @@ def scan_licences(docs: DataFrame, templates=PHRASES + SENTENCES) -> DataFrame:
     votes = (scanned.where(F.size("hits") > 0).select("row", "doc_id", "n_words", F.explode("hits").alias("x"))
              .select("row", "doc_id", "n_words", F.col("x.p").alias("p"), F.col("x.h").alias("h")).join(table, "h"))
     diagonals = votes.groupBy("row", "doc_id", "n_words", "template", "label", "exact", "n", (F.col("p") - F.col("t")).alias("d")).agg(
-        F.count("*").alias("found"), F.min("p").alias("p0"), F.max("p").alias("p1"))
+        F.count("*").alias("found"), F.when(~F.first("exact"), F.collect_list("p")).alias("ps"))
     per_text = diagonals.groupBy("row", "doc_id", "n_words").agg(F.collect_list(F.struct(
-        "template", "d", "label", "exact", "n", "found", "p0", "p1")).alias("ds"))
+        "template", "d", "label", "exact", "n", "found", "ps")).alias("ds"))
     spans = per_text.mapInArrow(_merge, "row long, doc_id long, n_words long, spans array<struct<label:string,exact:boolean,first:long,last:long,share:double>>")
     empty = F.array().cast("array<struct<label:string,exact:boolean,first:long,last:long,share:double>>")
     return spans.unionByName(scanned.where(F.size("hits") == 0).select("row", "doc_id", "n_words", empty.alias("spans")))
 
 
 def _merge(batches):
-    """Phrases: full diagonals. Sentences: neighbouring diagonals whose words follow one another become one span."""
+    """Phrases: full diagonals. Sentences: chains of matches."""
     kind = pa.list_(pa.struct([("label", pa.string()), ("exact", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())]))
     for batch in batches:
         out = []
         for ds in batch.column("ds").to_pylist():
-            spans, run = [], None
-            for x in sorted(ds, key=lambda x: (x["template"], x["d"], x["p0"])):
-                if x["exact"]:
-                    if x["found"] == x["n"]:
-                        spans.append((x["label"], True, x["d"], x["d"] + x["n"] + GRAM - 2, 1.0))
-                    continue
-                same = run and run["template"] == x["template"] and x["d"] - run["d"] <= DRIFT and x["p0"] > run["p1"] - GRAM
-                if same:
-                    run = run | {"d": x["d"], "found": run["found"] + x["found"], "p1": max(run["p1"], x["p1"])}
-                    continue
-                _close_span(run, spans)
-                run = dict(x)
-            _close_span(run, spans)
+            spans, hits = [], {}
+            for x in sorted(ds, key=lambda x: (x["template"], x["d"])):
+                if not x["exact"]:
+                    hits.setdefault((x["template"], x["label"], x["n"]), []).extend((p, p - x["d"]) for p in x["ps"])
+                elif x["found"] == x["n"]:
+                    spans.append((x["label"], True, x["d"], x["d"] + x["n"] + GRAM - 2, 1.0))
+            for (_, label, n), found in hits.items():
+                spans += [(label, False, a, b + GRAM - 1, k / n) for a, b, k in chains(sorted(found), n)]
             out.append([dict(zip(("label", "exact", "first", "last", "share"), s)) for s in spans])
         yield pa.RecordBatch.from_arrays(
             [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(out, kind)], ["row", "doc_id", "n_words", "spans"])
 
 
-def _close_span(run, spans) -> None:
-    if run and run["found"] >= LEAST_SHARE * run["n"]:
-        spans.append((run["label"], False, run["p0"], run["p1"] + GRAM - 1, min(1.0, run["found"] / run["n"])))
+def chains(hits: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
+    """(first, last, matches) of the longest chains over ascending (text, template) positions that hold enough of n."""
+    taken: list[tuple[int, int, int]] = []
+    while len(hits) >= LEAST_SHARE * n:
+        # per hit: matches and moves (negative) of the best chain that ends there, and the place of its start
+        best: list[tuple[int, int, int]] = []
+        low = 0
+        for i, (p, t) in enumerate(hits):
+            while hits[low][0] < p - n - DRIFT:
+                low += 1
+            top = (1, 0, p)
+            for (q, u), (k, moved, start) in zip(hits[low:i], best[low:i]):
+                if q < p and u < t and (move := abs(p - t - q + u)) <= DRIFT:
+                    top = max(top, (k + 1, moved - move, start))
+            best.append(top)
+        ends = sorted((-k, -moved, p, start) for (k, moved, start), (p, _) in zip(best, hits) if k >= LEAST_SHARE * n)
+        if not ends:
+            break
+        used: set[int] = set()
+        for k, _, last, first in ends:
+            if used.isdisjoint(range(first, last + 1)):
+                used.update(range(first, last + 1))
+                taken.append((first, last, -k))
+        hits = [h for h in hits if h[0] not in used]
+    return taken
