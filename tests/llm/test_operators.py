@@ -110,6 +110,17 @@ def test_restores_obfuscated_words(spark):
     assert said == ["an idiot", "stupid", "loser", "clean words 12 stay", "", "idiot"]
 
 
+def test_restoring_deletes_no_letters(spark):
+    corpus = spark.createDataFrame([("ты полный дурак и дурак ушёл домой " * 20,), ("the idiot said stupid things and the idiot left " * 20,)], "text string")
+    restore = Restorer(language_model(corpus))
+    import pyarrow as pa
+
+    said = restore(pa.array(["ты дур4к!", "д у р а к", "дурааааак", "你真是个笨蛋!你走开1", "stupid/1d10t,left", "żółć1", "γεια!"])).to_pylist()
+    assert said[:3] == ["ты дурак", "дурак", "дурак"]
+    assert said[3].startswith("你真是个笨蛋") and "你走开" in said[3]
+    assert said[4] == "stupid/idiot,left" and said[5].startswith("żółć") and said[6] == "γεια"
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,23 +1,27 @@
 """Toxicity scores over deobfuscated text.
 
-1. A character language model (trigrams over a fixed alphabet) is counted over all texts of the corpus.
+1. A character language model is counted over all texts of the corpus: trigrams over the letters of Western European
+   languages and the corpus' most frequent other letters, LETTERS in all.
 2. Noisy channel: tokens with leetspeak, letters spaced out, or letters repeated three times and more become
    lattices: each run of a sign can stand for itself, for the letters it imitates, or for one or two copies. Viterbi
-   takes the path that the channel and the language model together find likeliest.
+   takes the path that the channel and the language model together find likeliest. Signs outside the channel (other
+   letters, separators) stay as they are; the stretches between them are decoded apart.
 3. Restored texts are described by their short words and word beginnings (hashed, presence only). The features that speak
    most clearly for the label are kept and weighed by a logistic regression, fitted with Spark ML on at most TRAIN_ROWS
    labelled rows.
 
 Whole texts are decoded and scored; only the fit is bounded. Defined results: null and empty texts are scored from
 the intercept alone; rows that repeat a doc_id are scored one by one; repeated labels of a document count as the
-largest; rows without doc_id are scored and never trained on; without labels of both kinds every score is the share of
-toxic labels, or 0; an empty table gives an empty result; columns other than doc_id and text are not read.
+largest; rows without doc_id are scored and never trained on; without labels of both kinds, or without a clear feature, every
+score is the share of toxic labels, or 0; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,35 +42,71 @@ SELECTED = 512
 #: Toxic rows of a feature, and standard deviations by which they must exceed their expected number.
 LEAST_ROWS, LEAST_EXCESS = 5, 5.0
 BEGINNINGS = (3, 4, 5, 6)
-#: Fixed alphabet of the language model: word edge, any other sign, and the letters of Western European languages.
+#: Start of the language model's alphabet: word edge, any other sign, and the letters of Western European languages.
 ALPHABET = "\x00\x01abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+#: Signs of the alphabet at most; its trigram table is this to the third.
+LETTERS = 128
 #: Signs and the letters they imitate.
 LEET = {
-    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "",
+    "0": "oо", "1": "il", "2": "z", "3": "eзе", "4": "aча", "5": "s", "6": "gб", "7": "t", "8": "b", "9": "g",
+    "@": "aа", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "",
 }
-#: Costs in nats: reading a sign as a letter, dropping a sign inside a word, keeping a letter twice.
-COST_LEET, COST_DROP, COST_TWICE = 1.0, 4.0, 1.5
+#: Costs in nats: reading a sign as a letter, dropping a sign inside a word, keeping a letter twice, a sign as itself.
+COST_LEET, COST_DROP, COST_TWICE, COST_SELF = 1.0, 4.0, 1.5, 2.0
 _SPACED = re.compile(r"\S(?:[ .\-_*]\S)+")
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _SIGNS, _GAPS = np.zeros(256, bool), np.zeros(256, bool)
 _SIGNS[[ord(c) for c in LEET if ord(c) < 0x80]] = True
 _GAPS[[ord(c) for c in ".-_*"]] = True
-_CODE = {c: i for i, c in enumerate(ALPHABET)}
-_TABLE = np.ones(0x200, np.int64)
-_TABLE[[ord(c) for c in ALPHABET[2:]]] = np.arange(2, len(ALPHABET))
-_TABLE[[0x20, *range(0x09, 0x0E)]] = 0
+#: Signs that the channel puts into words.
+_CHANNEL = frozenset(LEET) | frozenset(".-_* ")
 
 
-def _count_trigrams(batches):
+@dataclass
+class LanguageModel:
+    """log P(third | first two) over the alphabet."""
+
+    alphabet: str
+    logs: np.ndarray
+
+    def __post_init__(self):
+        self.code = {c: i for i, c in enumerate(self.alphabet)}
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _count_letters(batches):
+    """Per task one batch: counts of the letters outside ALPHABET."""
+    total: dict[int, int] = {}
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            points = _points(text or "")
+            for c, n in zip(*np.unique(points[points >= 0x80], return_counts=True)):
+                total[int(c)] = total.get(int(c), 0) + int(n)
+    found = [c for c in total if chr(c).isalpha() and chr(c) not in ALPHABET]
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([total[c] for c in found], pa.int64())], ["letter", "n"])
+
+
+def corpus_alphabet(docs: DataFrame) -> str:
+    """ALPHABET and the most frequent other letters of the texts."""
+    rows = (docs.select(F.lower(C.whole_text()).alias("text")).mapInArrow(_count_letters, "letter long, n long").groupBy("letter")
+            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS - len(ALPHABET)).collect())
+    return ALPHABET + "".join(chr(r.letter) for r in rows)
+
+
+def _count_trigrams(alphabet: str, batches):
     """Per task one batch: counts of the trigrams of its words, edges included."""
-    a = len(ALPHABET)
+    a = len(alphabet)
     total = np.zeros(a ** 3, np.int64)
+    table = np.ones(max(map(ord, alphabet)) + 2, np.int64)
+    table[[ord(c) for c in alphabet[2:]]] = np.arange(2, a)
+    table[[0x20, *range(0x09, 0x0E)]] = 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            points = np.frombuffer((" " + (text or "") + " ").encode("utf-32-le", "replace"), np.uint32)
-            codes = np.where(points < 0x200, _TABLE[np.minimum(points, 0x1FF)], 1)
+            codes = table[np.minimum(_points(" " + (text or "") + " "), len(table) - 1)]
             codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
             if len(codes) > 2:
                 grams, n = np.unique((codes[:-2] * a + codes[1:-1]) * a + codes[2:], return_counts=True)
@@ -75,10 +115,11 @@ def _count_trigrams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
 
-def language_model(docs: DataFrame) -> np.ndarray:
-    """log P(third | first two) over the alphabet; its size is fixed by the alphabet."""
-    a = len(ALPHABET)
-    rows = docs.select(F.lower(C.whole_text()).alias("text")).mapInArrow(_count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+def language_model(docs: DataFrame) -> LanguageModel:
+    """Counted over all texts; its size is bounded by LETTERS."""
+    alphabet = corpus_alphabet(docs)
+    a = len(alphabet)
+    rows = docs.select(F.lower(C.whole_text()).alias("text")).mapInArrow(partial(_count_trigrams, alphabet), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(a ** 3)
     for r in rows:
         counts[r.gram] = r.n
@@ -87,11 +128,18 @@ def language_model(docs: DataFrame) -> np.ndarray:
     one = (single + 1) / (single.sum() + a)
     two = (pairs + 20 * one) / (pairs.sum(1, keepdims=True) + 20)
     three = (counts + 20 * two[None]) / (counts.sum(2, keepdims=True) + 20)
-    return np.log(three).astype(np.float32)
+    return LanguageModel(alphabet, np.log(three).astype(np.float32))
+
 
+def decode(token: str, lm: LanguageModel) -> str:
+    """One obfuscated token with the stretches between signs outside the channel decoded."""
+    stretches = groupby(token, lambda c: c in lm.code or c in _CHANNEL)
+    return "".join(_decode("".join(signs), lm) if inside else "".join(signs) for inside, signs in stretches)
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """Likeliest spelling of one obfuscated token, by Viterbi over (previous two letters)."""
+
+def _decode(token: str, model: LanguageModel) -> str:
+    """Likeliest spelling of one stretch, by Viterbi over (previous two letters)."""
+    code, lm = model.code, model.logs
     states = {(0, 0): (0.0, "")}
     at = 0
     while at < len(token):
@@ -99,22 +147,24 @@ def decode(token: str, lm: np.ndarray) -> str:
         while end < len(token) and token[end] == sign:
             end += 1
         options: list[tuple[str, float]] = []
-        if sign in _CODE:
+        if sign in code:
             options.append((sign, 0.0))
             if end - at > 1:
                 options.append((sign * 2, COST_TWICE if end - at > 2 else 0.0))
         for letter in LEET.get(sign, ""):
-            options.append((letter, COST_LEET))
-            if end - at > 1:
-                options.append((letter * 2, COST_LEET + COST_TWICE))
-        if sign not in _CODE:
+            if letter in code:
+                options.append((letter, COST_LEET))
+                if end - at > 1:
+                    options.append((letter * 2, COST_LEET + COST_TWICE))
+        if sign not in code:
             options.append(("", COST_DROP if sign.isalnum() else 0.5))
+            options.append((token[at:end], COST_SELF))
         after: dict[tuple[int, int], tuple[float, str]] = {}
         for (p, q), (cost, said) in states.items():
             for letters, extra in options:
                 c, x, y = cost + extra, p, q
                 for letter in letters:
-                    z = _CODE[letter]
+                    z = code.get(letter, 1)
                     c -= float(lm[x, y, z])
                     x, y = y, z
                 best = after.get((x, y))
@@ -127,7 +177,7 @@ def decode(token: str, lm: np.ndarray) -> str:
 class Restorer:
     """Restores texts with a bounded memory of decoded tokens."""
 
-    def __init__(self, lm: np.ndarray, remember: int = 100_000):
+    def __init__(self, lm: LanguageModel, remember: int = 100_000):
         self.lm, self.remember, self.known = lm, remember, {}
 
     def token(self, token: str) -> str:
@@ -207,7 +257,7 @@ def features(column: pa.Array) -> list[np.ndarray]:
     return [packed[a:b] & (DIMENSIONS - 1) for a, b in zip(cut, cut[1:])]
 
 
-def _restored(lm: np.ndarray, batches, rows: int = 512):
+def _restored(lm: LanguageModel, batches, rows: int = 512):
     """(batch, restored texts) in slices."""
     restore = Restorer(lm)
     for whole in batches:
@@ -218,7 +268,7 @@ def _restored(lm: np.ndarray, batches, rows: int = 512):
 
 @dataclass
 class ToxicityModel:
-    lm: np.ndarray
+    lm: LanguageModel
     weights: np.ndarray
     intercept: float
 
@@ -251,6 +301,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
              .where((F.col("z") >= LEAST_EXCESS) & (F.col("n") >= LEAST_ROWS))
              .orderBy(F.desc("z"), "bucket").limit(SELECTED).collect())
     chosen_buckets = np.array(sorted(r.bucket for r in clear), np.int64)
+    if not len(chosen_buckets):
+        return ToxicityModel(lm, np.zeros(DIMENSIONS, np.float32), float(np.log(base / (1 - base))))
 
     def presence(batches):
         for batch in batches:
