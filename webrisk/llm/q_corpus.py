@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from webrisk.llm.phrases import collocations
+from webrisk.llm.pii import KINDS, find_pii
 from webrisk.llm.registry import register, table
+from webrisk.llm.whitening import whiten
 
 PHRASE_SQL = """
 with t as (
@@ -42,3 +46,23 @@ select k.lang, rank, phrase, a, l, r, n, score::bigint as score from k join n on
 @register("op11_phrase_mining", PHRASE_SQL)
 def phrase_mining(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op12_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    out = whiten(table(spark, sf_dir, "embeddings"), k=8)
+    parts = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "part")
+    return out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", parts).select(
+        "vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"), "identity_error")
+
+
+@register("op13_pii")
+def pii(spark, sf_dir):
+    out = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select(
+        "doc_id", *(count(kind) for kind, k in KINDS.items() if k.base), F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
