@@ -34,7 +34,7 @@ from webrisk.llm.wordhash import mix, text_bytes
 
 FILTER_BITS = 25
 #: Bytes of text worked on at once, and n-grams of one shard.
-SLICE, SHARD = 1 << 23, 1 << 22
+SLICE, SHARD = 1 << 22, 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
