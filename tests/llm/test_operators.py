@@ -99,6 +99,18 @@ def test_near_duplicates_on_dirty_rows(dirty, nothing):
     assert near_duplicates(nothing).count() == 0
 
 
+A, B, OTHER = (" ".join(f"{c}{i}" for i in range(40)) for c in "abo")
+
+
+def test_a_repeated_doc_id_is_one_document(spark):
+    df = spark.createDataFrame([(3, A), (6, A), (6, B), (7, B), (8, OTHER), (9, B + " x"), (9, OTHER + " y")], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert found == {(3, 3, True), (6, 3, False), (7, 3, False), (8, 3, False), (9, 3, False)}
+    by_text = near_duplicates(df, by_text=True)
+    kept = by_text.where("kept").join(df.withColumn("row", F.xxhash64("text")), ["doc_id", "row"]).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(3, A), (6, B), (8, OTHER)]
+
+
 # --- toxicity
 
 def test_restores_obfuscated_words(spark):

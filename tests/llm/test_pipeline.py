@@ -60,3 +60,25 @@ def test_empty_documents_pass(spark):
     for _, stage in P.STAGES:
         docs = C.stored(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_stages_on_dirty_rows(spark):
+    """Nulls, repeated doc_ids with other texts, a very long text; no clean text gets lost."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(20_000))
+    rows = [(3, a), (6, a), (6, b), (7, b), (None, "no id here"), (None, None), (8, None), (9, ""), (10, long), (10, long), (11, long + " end")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40 and doc_id > 11")
+    docs = docs.unionByName(given, allowMissingColumns=True).selectExpr("*", "null as _toxicity_", "null as row", "null as kept_text", "null as n", "null as component_id")
+    columns = docs.columns
+    docs = C.stored(docs, "dirty")
+    for name, stage in P.STAGES:
+        docs = C.stored(stage(spark, docs, SF), "stage")
+        if name != "sentencepiece":
+            assert docs.columns == columns
+        if name == "near dedup":
+            left = docs.where("doc_id < 12 or doc_id is null").select("doc_id", "text").collect()
+            assert sorted((r.doc_id, r.text) for r in left if r.text in (a, b)) == [(3, a), (6, b)]
+            assert [r.doc_id for r in left if r.text and len(r.text) > 1000] == [10, 10]
+            assert sum(r.doc_id is None for r in left) == 2
+    assert docs.where("doc_id in (3, 6, 8, 9, 10) or doc_id is null").count() == 8

@@ -12,9 +12,12 @@
 5. Pairs pass if the union sketch estimates enough similarity; the exact Jaccard of the full sets decides.
 6. Components over the links, by smallest label.
 
+Nodes are texts, not documents: every distinct set has an id of its own, taken from its digests.
+
 Defined results: texts without words have an empty set and no links; rows without doc_id are returned with component
-null and kept; rows that repeat a doc_id are one document and share a component; copies share
-one; an empty table gives an empty result; columns other than doc_id and text are not read.
+null and kept; rows that repeat a doc_id are one document and share a component, whatever their texts, unless `by_text` asks for
+components of texts, where each row has the component of its own text; copies share one; an empty table gives an
+empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -67,20 +70,40 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums over each set, of its values and of their scrambling."""
+    sums = [(s.view(np.uint64).sum(dtype=np.uint64), mix(s.view(np.uint64) ^ _D2).sum(dtype=np.uint64)) for s in sets]
+    return np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def _sketch(batches):
     for batch in batches:
         sets = list(shingle_sets(words_of(batch.column(1), lower=True)))
-        sums = [(s.view(np.uint64).sum(dtype=np.uint64), mix(s.view(np.uint64) ^ _D2).sum(dtype=np.uint64)) for s in sets]
-        sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
+        sums = _digests(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()),
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].copy()),
              pa.array(sums[:, 1].copy()), _lists([s[:K] for s in sets]), *(pa.array(b.copy()) for b in np.array([parity_bits(s) for s in sets], np.int64).reshape(-1, 4).T)],
-            ["doc_id", "n", "d1", "d2", "sketch", *BITS])
+            ["doc_id", "row", "n", "d1", "d2", "sketch", *BITS])
 
 
 def _full_sets(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(words_of(batch.column(1), lower=True))))], ["id", "full"])
+        sets = list(shingle_sets(words_of(batch.column(1), lower=True)))
+        sums = _digests(sets)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["d1", "d2", "n", "full"])
+
+
+def _set_id():
+    return F.xxhash64("d1", "d2", "n")
+
+
+def _whole(ids: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, full) of the sets `ids`, read from one text of each."""
+    wanted = ids.join(reps.select(F.col("rep").alias("id"), "first"), "id")
+    rows = texts.join(wanted.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    full = rows.mapInArrow(_full_sets, "d1 long, d2 long, n long, full array<long>").select(_set_id().alias("id"), "full")
+    return full.dropDuplicates(["id"])
 
 
 def overlap(percent: int) -> int:
@@ -117,8 +140,8 @@ def _links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) ->
         both >= F.size(union) * least_estimate(percent)).alias("passes")).where("passes")
     met = C.stored(met.select("a", "b", "exact"), "estimated")
     open_ = met.where(~F.col("exact"))
-    ids = open_.select(F.col("a").alias("doc_id")).union(open_.select(F.col("b"))).distinct()
-    full = C.stored(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>"), "sets")
+    ids = open_.select(F.col("a").alias("id")).union(open_.select(F.col("b"))).distinct()
+    full = C.stored(_whole(ids, reps, texts), "sets")
     judged = (open_.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
               .join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b"))
     common = F.size(F.array_intersect("fa", "fb"))
@@ -152,13 +175,25 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
     ).select(*_pairs(F.col("rep"), F.col("u"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = C.stored(texts.mapInArrow(_sketch, 
-        "doc_id long, n long, d1 long, d2 long, sketch array<long>, s0 long, s1 long, s2 long, s3 long"), "sketches")
+def _same_document(own: DataFrame) -> DataFrame:
+    """Links (a, b) from one to the other sets of a doc_id that has several."""
+    several = own.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n")).alias("s"), F.max(F.struct("d1", "d2", "n")).alias("t")).where(F.col("s") != F.col("t"))
+    one = F.xxhash64("s.d1", "s.d2", "s.n")
+    pairs = own.select("doc_id", _set_id().alias("b")).join(several.select("doc_id", one.alias("a")), "doc_id")
+    return pairs.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, by_text: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    With `by_text`, two texts of one doc_id aren't linked by it, and `row` (columns.row_key) tells the rows apart.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", C.row_key(C.whole_text()).alias("row"))
+    sketched = C.stored(texts.mapInArrow(_sketch,
+        "doc_id long, row long, n long, d1 long, d2 long, sketch array<long>, s0 long, s1 long, s2 long, s3 long"), "sketches")
     own = sketched.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = C.stored(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"), *(F.max(b).alias(b) for b in BITS)), "reps")
+    reps = C.stored(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.any_value("sketch").alias("sketch"), *(F.max(b).alias(b) for b in BITS)).withColumn(
+        "rep", _set_id()), "reps")
 
     n, size = F.col("n"), F.least(F.col("n"), F.lit(K))
     loss = 100 - percent
@@ -183,8 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "v", "rep", "n", *BITS, label, "members", F.lit(None).cast("long").alias("at")), "placed")
     few = _across(placed.where(F.col("members") <= LONG_LIST), percent)
     # members of long lists meet by the rarest shingles of their full sets, where the bound on misses is exact
-    crowd = placed.where(F.col("members") > LONG_LIST).select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.join(crowd.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, full array<long>").dropDuplicates(["id"])
+    crowd = placed.where(F.col("members") > LONG_LIST).select(F.col("rep").alias("id")).distinct()
+    full = _whole(crowd, reps, texts).join(crowd, "id", "left_semi")
     values = C.stored(full.select(F.col("id").alias("rep"), F.size("full").cast("long").alias("n"), F.explode("full").alias("v")), "crowd")
     bits = reps.select("rep", *BITS)
     ranked = _ordered(values, ()).join(bits, "rep")
@@ -194,12 +229,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "rep", "n", *BITS, F.col("h.v").alias("v"), (F.col("i") + F.col("absent")).cast("long").alias("at"))
     many = _across(dense.join(named, "rep", "left").select("v", "rep", "n", *BITS, label, "at"), percent)
     more = _links(few.unionByName(many), reps, texts, percent)
-    groups = components(links.unionByName(more))
+    links = links.unionByName(more)
+    if not by_text:
+        links = links.unionByName(_same_document(own))
+    groups = components(links)
 
-    member = reps.select("d1", "d2", "n", "rep").join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-        "d1", "d2", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n", "d1", "d2").join(member, ["d1", "d2", "n"], "left")
+    labelled = reps.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
+        "d1", "d2", "n", "first", F.coalesce("label", "rep").alias("label"))
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    member = labelled.join(smallest, "label").select("d1", "d2", "n", "component_id")
+    out = sketched.select("doc_id", "row", "n", "d1", "d2").join(member, ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return out.select("doc_id", n.alias("n_shingles"), component.cast("long").alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["row"] if by_text else []))
