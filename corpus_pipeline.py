@@ -35,9 +35,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    gone = near_duplicates(docs, percent=SIMILARITY).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicate texts those of the smallest doc_id stay. Rows are judged by their own text."""
+    gone = near_duplicates(docs, percent=SIMILARITY, by_text=True).where(~F.col("kept")).select("doc_id", F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", C.row_key(C.whole_text())).join(gone, ["doc_id", "_row"], "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
