@@ -68,6 +68,25 @@ def domain_split(spark, sf):
     return U.split_domain(df, "h").select("page_id", "subdomain", "domain", "suffix", "base_domain")
 
 
+#: Host ending per page_id % 18, and how many of its labels are the suffix.
+ENDINGS = [
+    ("photography", 1), ("co.za", 2), ("nsw.edu.au", 3), ("museum", 1), ("k12.ma.us", 3), ("pvt.k12.ma.us", 4), ("gouv.fr", 2), ("berlin", 1),
+    ("com.br", 2), ("travel", 1), ("oxford.sch.uk", 3), ("foo.ck", 2), ("www.ck", 1), ("city.kawasaki.jp", 2), ("ward.kawasaki.jp", 3),
+    ("xn--55qx5d.cn", 2), ("intern", 0), ("Co.UK", 2),
+]
+
+
+@register("domain_split_rules", f"""
+with e as (select * from (values {', '.join(f"({i}, '{e}', {w})" for i, (e, w) in enumerate(ENDINGS))}) t(k, ending, wide)),
+h as (select page_id, wide, string_split('shop.example' || (page_id % 7) || '.' || ending, '.') as l from pages join e on page_id % {len(ENDINGS)} = k)
+select page_id, array_to_string(l[:len(l) - wide - 1], '.') as subdomain, l[len(l) - wide] as domain,
+  coalesce(array_to_string(l[len(l) - wide + 1:], '.'), '') as suffix, array_to_string(l[len(l) - wide:], '.') as base_domain from h""")
+def domain_split_rules(spark, sf):
+    ending = F.element_at(F.array(*(F.lit(e) for e, _ in ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    df = I.table(spark, sf, "pages").select("page_id", F.concat(F.lit("shop.example"), (F.col("page_id") % 7).cast("string"), F.lit("."), ending).alias("h"))
+    return U.split_domain(df, "h").select("page_id", "subdomain", "domain", "suffix", "base_domain")
+
+
 @register("malformed_filter", f"""
 with {RAW}, g as (
   select case when regexp_matches(trim(raw), '^[a-z]+:') and not

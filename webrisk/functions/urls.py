@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
 from webrisk.functions.text import let, non_empty_parts, strip
+from webrisk.sources.suffixes import SuffixRules, suffix_rules
 
 _SEP = "\u0001"
 _RFC3986 = (
@@ -202,35 +203,32 @@ def suffix_source_host(url: Column) -> Column:
     return F.regexp_replace(host, r"^\s+|\.+$|\s+$", "")
 
 
-def public_suffix(host: Column) -> Column:
-    """Public suffix of a host, '' when unknown or when the host is an IP address.
+def split_domain(df: DataFrame, host: str, prefix: str = "", rules: SuffixRules | None = None) -> DataFrame:
+    """Add subdomain, domain, suffix and base_domain (domain plus suffix) of a host column.
 
-    Compact rules instead of the full public list: two-letter endings, the generic
-    endings of the catalog, and second-level registries such as ``co.uk``.
+    The ending of a host is looked up with one, two and more labels in the rule tables, which are a few thousand rows and go to
+    every executor, so rows stay where they are. The longest rule wins, a wildcard takes one label more, an exception one
+    less. Hosts without a rule and addresses have the suffix ''.
     """
-
-    def body(labels: Column) -> Column:
-        n = F.size(labels)
-        last = F.element_at(labels, -1)
-        second = F.try_element_at(labels, F.lit(-2))
-        registry = (
-            (n >= 2)
-            & F.lower(second).isin(K.SECOND_LEVEL_LABELS)
-            & F.lower(last).isin(K.SECOND_LEVEL_COUNTRIES)
-        )
-        known = F.lower(last).rlike("^[a-z]{2}$") | F.lower(last).isin(K.GENERIC_SUFFIXES)
-        return (
-            F.when(registry, F.concat_ws(".", second, last)).when(known, last).otherwise(F.lit(""))
-        )
-
-    return F.when(is_ip_host(host), F.lit("")).otherwise(let(F.split(host, r"\."), body))
-
-
-def split_domain(df: DataFrame, host: str, prefix: str = "") -> DataFrame:
-    """Add subdomain, domain, suffix and base_domain (domain plus suffix) of a host column."""
-    p = prefix
+    p, rules = prefix, rules or suffix_rules(df.sparkSession)
     h = F.col(host)
-    df = df.withColumns({f"{p}suffix": public_suffix(h), f"{p}_ip": is_ip_host(h)})
+    df = df.withColumns({f"{p}_ip": is_ip_host(h), f"{p}_labels": F.split(F.lower(h), r"\.")})
+    labels, n = F.col(f"{p}_labels"), F.size(f"{p}_labels")
+    found = []
+    for k, level in enumerate(rules.levels, 1):
+        key, hit = f"{p}_key{k}", f"{p}_hit{k}"
+        taken = F.when(F.col("exception"), k - 1).when(F.col("wild"), k + 1).otherwise(k)
+        table = level.select(F.col("suffix").alias(key), F.struct(taken.alias("wide"), "exact", "exception").alias(hit))
+        ending = F.when((n >= k) & ~F.col(f"{p}_ip"), F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), k), "."))
+        df = df.withColumn(key, ending).join(F.broadcast(table), key, "left")
+        found.append((k, F.col(hit)))
+    exception = F.coalesce(*(F.when(hit["exception"], k - 1) for k, hit in reversed(found)))
+    # a wildcard needs a label to take; without one its own rule counts, if there is one
+    widths = [F.when(hit["wide"] <= n, hit["wide"]).when(hit["exact"], k) for k, hit in found]
+    width = F.coalesce(exception, F.greatest(*widths, F.lit(0), F.lit(0)))
+    df = df.withColumn(f"{p}_width", width).withColumn(
+        f"{p}suffix", F.when(F.col(f"{p}_width") > 0, F.array_join(F.slice(F.split(h, r"\."), F.greatest(n - F.col(f"{p}_width") + 1, F.lit(1)), n), ".")).otherwise(""))
+    df = df.drop(f"{p}_labels", f"{p}_width", *(f"{p}_{x}{k}" for k, _ in found for x in ("key", "hit")))
     suffix = F.col(f"{p}suffix")
     rest = F.when(suffix == "", h).otherwise(
         F.expr(f"substring(`{host}`, 1, greatest(length(`{host}`) - length(`{p}suffix`) - 1, 0))")
