@@ -8,6 +8,7 @@ from checks import inputs as I
 from checks import sql as S
 from checks.registry import register
 from webrisk import catalogs as K
+from webrisk.functions.plan import stored
 from webrisk.operators import calibrate, ml, prep
 from webrisk.operators.url_features import url_features_40
 
@@ -19,6 +20,11 @@ def deduped(spark, sf):
     return prep.dedupe_urls(I.labeled_urls(spark, sf))
 
 
+def stored_once(spark, sf):
+    """Cuts by rank read their input several times."""
+    return stored(deduped(spark, sf), "deduped")
+
+
 @register("dedupe_urls", D1 + " select url, label, source_dataset, line_no from d1")
 def dedupe(spark, sf):
     return deduped(spark, sf).select("url", "label", "source_dataset", "line_no")
@@ -55,7 +61,7 @@ def first_rows(spark, sf):
 
 @register("first_rows_large", D1 + " select source_dataset, line_no, url from d1 qualify row_number() over (partition by source_dataset order by source_file, line_no) <= 1500")
 def first_rows_large(spark, sf):
-    return prep.first_rows_per_source(deduped(spark, sf), 1500).select("source_dataset", "line_no", "url")
+    return prep.first_rows_per_source(stored_once(spark, sf), 1500).select("source_dataset", "line_no", "url")
 
 
 H = "md5('42|' || url)"
@@ -69,14 +75,14 @@ def balanced(spark, sf):
 @register("train_test_sample", D1 + f""" select source_dataset, label, url, case when r <= 40 then 'train' else 'test' end as split
 from (select *, row_number() over (partition by source_dataset, label order by {H}, url) as r from d1) where r <= 65""")
 def train_test(spark, sf):
-    return prep.train_test_sample(deduped(spark, sf), 80, 50).select("source_dataset", "label", "url", "split")
+    return prep.train_test_sample(stored_once(spark, sf), 80, 50).select("source_dataset", "label", "url", "split")
 
 
 @register("train_test_positional", D1 + """, r as (select *, row_number() over (partition by source_dataset order by source_file, line_no) as r,
   floor(count(*) over (partition by source_dataset) * (100::double / 150))::bigint as cut from d1)
 select source_dataset, url, case when r <= cut then 'train' else 'test' end as split from r where r <= cut + 50""")
 def positional(spark, sf):
-    return prep.train_test_sample(deduped(spark, sf), 100, 50, balance=False).select("source_dataset", "url", "split")
+    return prep.train_test_sample(stored_once(spark, sf), 100, 50, balance=False).select("source_dataset", "url", "split")
 
 
 D6 = f"""{D2}, d6 as (select *, row_number() over (partition by label order by {H}, url) as rk, count(*) over (partition by label) as n from d2),
@@ -84,7 +90,7 @@ d7 as (select *, case when rk <= floor(n * 0.7::double + 0.5) then 'train' when
 
 
 def split(spark, sf):
-    return prep.stratified_split(prep.dedupe_domains(deduped(spark, sf)))
+    return prep.stratified_split(stored(prep.dedupe_domains(deduped(spark, sf)), "domains"))
 
 
 @register("stratified_split", D6 + " select url, label, split from d7")
@@ -278,7 +284,7 @@ def search(spark, sf):
     halves = ml.stratified_halves(training_table(spark, sf))
     train = halves.filter("split = 'train'")
     # folds, weights and features once; every fit reads the stored columns
-    rows = ml.with_folds(ml.balanced_weights(train.drop("rank_in_group")), 2).select(
+    rows = ml.with_folds(ml.balanced_weights(train), 2).select(
         "url", "label", "weight", "fold", *FEATURES).persist()
     found = [
         ml.random_search("random_forest", rows, FEATURES, {"numTrees": [5], "maxDepth": [3]}, draws=1, folds=2),

@@ -8,11 +8,21 @@ above it, and ``explode`` in its outer form adds no inferred size predicate.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webrisk.session import shared_root
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, and lost executors cost nothing of it."""
+    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def sealed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Emit ``columns`` through a one-row generator; all other columns pass by untouched.
