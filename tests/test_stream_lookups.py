@@ -55,3 +55,30 @@ def test_page_classes_match_any_of_their_signs(spark):
     assert not flags.pg_info_email and not flags.pg_iframe
     flags = P.model_source_flags(row.withColumn("html", F.lit("z?D"))).first()
     assert flags.pg_info_email and not flags.pg_iframe
+
+
+def _plain(times, ttl):
+    found = []
+    for t in sorted(set(times)):
+        if not found or t > found[-1] + ttl:
+            found.append(t)
+    return found
+
+
+@pytest.mark.parametrize("lifetimes", [1, 2, 7, 1000])
+def test_blocks_don_t_matter(spark, lifetimes):
+    """A null key holds a third of all rows; gaps of all lengths, negative times, repeated times."""
+    import numpy as np
+
+    from webrisk.operators.lookups import table_misses
+
+    rng = np.random.default_rng(lifetimes)
+    ttl, rows = 100, []
+    for key, n, width in ((None, 600, 9000), (1, 300, 300), (2, 300, 100_000), (3, 400, 5000), (4, 1, 10), (5, 100, 50)):
+        rows += [(key, int(t)) for t in rng.integers(-width, width, n)]
+    rows += [(1, None), (None, None), (3, -1), (3, -101)]
+    got = {}
+    for r in table_misses(spark.createDataFrame(rows, "key long, us long"), ttl, lifetimes).collect():
+        got.setdefault(r.key, []).append(r.ts)
+    want = {k: _plain([t for q, t in rows if q == k and t is not None], ttl) for k in {k for k, _ in rows}}
+    assert {k: sorted(v) for k, v in got.items()} == want

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from webrisk.functions import text as T
 from webrisk.operators.history import history_rows
+from webrisk.operators.lookups import table_misses
 from webrisk.plans.score import ScoreOptions, score_pages
 
 
@@ -64,19 +65,14 @@ def first_lookups(lookups: DataFrame, ttl_seconds: int = 900, key: str = "url",
 
     A miss stores the answer for ``ttl_seconds``; a lookup later than that is the next miss. Works on tables and on
     streams and gives the same rows whatever the micro-batches are, as long as time does not run backwards between them.
-    State is one time per key, dropped when the watermark passes its end: the next lookup is a miss either way. In a
-    table, equal times of a key count once before they are grouped.
+    State is one time per key, dropped when the watermark passes its end: the next lookup is a miss either way. Tables
+    are worked on in time blocks (`operators.lookups`).
     """
     ttl = ttl_seconds * 1_000_000
     kind = lookups.schema[key].dataType.simpleString()
     rows = lookups.select(F.col(key).alias("key"), F.col(ts).alias("ts"))
     if not lookups.isStreaming:
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = _misses(np.sort(pdf["us"].to_numpy()), None, ttl)
-            return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(out), "ts": out})
-
-        distinct = rows.select("key", F.unix_micros("ts").alias("us")).where("us is not null").distinct()
-        found = distinct.groupBy("key").applyInPandas(fold, f"key {kind}, ts long")
+        found = table_misses(rows.select("key", F.unix_micros("ts").alias("us")), ttl)
     else:
         def step(who, parts, state):
             times = [p["us"].to_numpy() for p in parts]
