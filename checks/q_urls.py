@@ -9,6 +9,7 @@ from checks import sql as S
 from checks.registry import register
 from webrisk import catalogs as K
 from webrisk.functions import urls as U
+from webrisk.operators.typosquat import with_imitated_brand
 from webrisk.operators.url_features import url_features_16, url_features_40
 from webrisk.operators.url_rules import url_evidence, with_url_context
 
@@ -87,6 +88,32 @@ def domain_split_rules(spark, sf):
     return U.split_domain(df, "h").select("page_id", "subdomain", "domain", "suffix", "base_domain")
 
 
+BRAND_WORDS = """
+dw as (select doc_id, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: length(w) between 5 and 12), lambda w: lower(w)) as words from documents),
+br as (select distinct unnest(words) as brand from dw)"""
+
+
+@register("typosquat_table", f"""with {BRAND_WORDS},
+l as (select page_id, words[1] as b from pages join dw on doc_id = page_id where len(words) > 0),
+t as (select page_id, case page_id % 6 when 0 then b when 1 then b[:2] || b[4:] when 2 then b[:2] || '0' || b[4:] when 3 then b[:3] || '1' || b[4:]
+  when 4 then 'my' || upper(b) || 'shop' else 'q' || page_id || 'z' end as label from l),
+m as (select page_id, label, min(brand) as first from t join br on contains(lower(label), brand) or levenshtein(lower(label), brand) <= 1 group by all)
+select t.page_id, t.label, case when first <> lower(t.label) then first end as imitated_brand from t left join m on m.page_id = t.page_id""")
+def typosquat_table(spark, sf):
+    """Every word of the corpus with five to twelve letters is a brand; each page asks for one in six spellings."""
+    words = F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")), lambda w: F.length(w).between(5, 12))
+    docs = I.table(spark, sf, "documents").select("doc_id", F.transform(words, F.lower).alias("words"))
+    brands = docs.select(F.explode("words").alias("brand")).distinct()
+    asked = I.table(spark, sf, "pages").select("page_id").join(
+        docs.where(F.size("words") > 0).select(F.col("doc_id").alias("page_id"), F.col("words")[0].alias("b")), "page_id")
+    b, page, tail = F.col("b"), F.col("page_id"), F.expr("substring(b, 4)")
+    label = I.cases(page % 6, {
+        0: b, 1: F.concat(F.substring("b", 1, 2), tail), 2: F.concat(F.substring("b", 1, 2), F.lit("0"), tail),
+        3: F.concat(F.substring("b", 1, 3), F.lit("1"), tail), 4: F.concat(F.lit("my"), F.upper("b"), F.lit("shop")),
+    }, F.concat(F.lit("q"), page.cast("string"), F.lit("z")))
+    return with_imitated_brand(asked.select("page_id", label.alias("label")), "label", brands)
+
+
 @register("malformed_filter", f"""
 with {RAW}, g as (
   select case when regexp_matches(trim(raw), '^[a-z]+:') and not
