@@ -102,12 +102,16 @@ def json_urls(spark, sf):
     return readers.read_json_urls(spark, _corpus_file(spark, sf), multi_line=False).select("url", "label")
 
 
-@register("load_all", f"select distinct url from (select url from pages union all select 'https://' || {HOSTS} from pages)")
+@register("load_all", f"select distinct url from (select url from pages union all select 'https://' || {HOSTS} from pages "
+          f"union all select 'https://alt-' || {HOSTS} from pages union all select 'https://json.example.com/' || page_id from pages)")
 def load_all(spark, sf):
     root = scratch(spark, "all")
     p = _pages(spark, sf)
     p.select("url").write.text(f"{root}/a")
     p.select(F.col("page_id").alias("pos"), url_host(F.col("url")).alias("domain")).write.option("header", True).csv(f"{root}/b")
+    p.select(F.col("page_id").alias("first id"), F.concat(F.lit("alt-"), url_host(F.col("url"))).alias("Site")).write.option(
+        "header", True).option("sep", ";").csv(f"{root}/d")
+    p.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("https://json.example.com/"), F.col("page_id").cast("string")).alias("url")).write.json(f"{root}/e")
     p.select("url").write.text(f"{root}/results/c")
     merged, _ = readers.load_all(spark, root)
     return merged.select("url")

@@ -23,6 +23,10 @@ CORPUS_DDL = (
 )
 
 
+#: Files up to which their headers are sent to the executors.
+MOST_FILES = 10_000
+
+
 def infer_label(file_name: Column) -> Column:
     """Label from the file name; phishing hints win, everything else is benign."""
     return F.when(T.contains_any(F.lower(file_name), K.PHISH_NAME_HINTS), 1).otherwise(0)
@@ -50,7 +54,8 @@ def _lines(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
 
     Without an explicit encoding, a line that is not valid UTF-8 is read as Latin-1.
     """
-    reader = spark.read.option("encoding", encoding) if encoding else spark.read
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    reader = reader.option("encoding", encoding) if encoding else reader
     value = F.col("value")
     if not encoding:
         value = F.when(F.is_valid_utf8(value), value).otherwise(
@@ -153,6 +158,46 @@ def read_url_csv(spark: SparkSession, path: str) -> DataFrame:
     return standard_records(df.select("source_file", "line_no", value.alias("raw_value")))
 
 
+def _csv_headers(lines: DataFrame) -> DataFrame:
+    """Per file: position of its header line, separator, lower-case column names, and the place of the URL or domain column, if named."""
+    first = lines.groupBy("source_file").agg(F.min("line_no").alias("header_at"), F.min_by("value", "line_no").alias("header"))
+    counts = F.transform(T.string_array([",", ";", "\t", "|"]), lambda c: F.struct(
+        F.when((c == ",") & F.col("header").contains(","), 1 << 30).otherwise(F.length("header") - F.length(F.replace("header", c))).alias("n"), c.alias("c")))
+    best = F.element_at(F.filter(counts, lambda x: x["n"] == F.array_max(F.transform(counts, lambda y: y["n"]))), 1)["c"]
+    first = first.withColumn("sep", best)
+    cells = F.split(F.col("header"), F.concat(F.lit("["), F.col("sep"), F.lit("]")))
+    first = first.withColumn("names", F.transform(cells, lambda c: F.lower(F.btrim(c, F.lit('" \r\ufeff')))))
+    named = F.coalesce(*(F.nullif(F.array_position("names", n.lower()), F.lit(0)) for n in (*K.URL_COLUMN_NAMES, *K.DOMAIN_COLUMN_NAMES)))
+    return first.select("source_file", "header_at", "sep", F.size("names").alias("width"), named.alias("named"))
+
+
+def read_url_csvs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Any number of CSV files with any headers as standard records, by the rules of `read_url_csv`, in one plan.
+
+    One scan finds every file's header, separator and URL column; in the other, a line is parsed with its file's separator
+    and gives the cell its file asks for. Files that cannot be read give no rows (see `unread_files`).
+    """
+    raw = spark.read.option("ignoreCorruptFiles", True).text(list(paths)).select(
+        F.col("_metadata.file_path").alias("source_file"), scan_position().alias("line_no"), "value").filter(F.trim("value") != "")
+    headers = _csv_headers(raw)
+    near = F.broadcast if len(paths) <= MOST_FILES else lambda df: df
+    width = headers.agg(F.max("width")).first()[0] or 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    rows = raw.join(near(headers), "source_file").filter(F.col("line_no") > F.col("header_at"))
+    cells = None
+    for sep in (",", ";", "\t", "|"):
+        parsed = F.from_csv("value", fields, {"sep": sep})
+        cells = F.when(F.col("sep") == sep, parsed) if cells is None else cells.when(F.col("sep") == sep, parsed)
+    rows = rows.withColumn("cells", cells).withColumn("cells", F.array(*(F.col(f"cells.c{i}") for i in range(width))))
+    first = F.get("cells", F.lit(0))
+    numeric = rows.filter("named is null").groupBy("source_file").agg(
+        (F.count_if(first.isNotNull()) == F.count_if(first.try_cast("double").isNotNull())).alias("numeric"))
+    rows = rows.join(near(numeric), "source_file", "left")
+    place = F.coalesce("named", F.when(F.col("numeric") & (F.col("width") >= 2), 2).otherwise(1).cast("long"))
+    value = F.coalesce(F.get("cells", (place - 1).cast("int")), F.lit("nan"))
+    return standard_records(rows.select("source_file", "line_no", value.alias("raw_value")))
+
+
 def read_labeled_csv(
     spark: SparkSession, path: str, label: int, source: str, candidates: Sequence[str]
 ) -> DataFrame:
@@ -191,7 +236,7 @@ def read_json_urls(spark: SparkSession, path, multi_line: bool = True, keep_inva
 
     Records without a usable URL, broken ones among them, are dropped or kept with a NULL url.
     """
-    df = spark.read.schema(CORPUS_DDL).option("multiLine", multi_line).json(path).select(
+    df = spark.read.schema(CORPUS_DDL).option("multiLine", multi_line).option("ignoreCorruptFiles", True).json(path).select(
         "*", F.col("_metadata.file_path").alias("source_file"),
         scan_position().alias("line_no"))
     url = U.normalize_url(F.col("url"))
@@ -204,12 +249,6 @@ def read_json_urls(spark: SparkSession, path, multi_line: bool = True, keep_inva
     ).filter(F.lit(keep_invalid) | F.col("url").isNotNull())
 
 
-def _json_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array or JSON lines, told apart by the first sign of the file; broken records are kept for the summary."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
-    return read_json_urls(spark, path, bool(first) and first[0].lstrip().startswith("["), keep_invalid=True)
-
-
 def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
     """txt, csv and json files below a folder, sorted; result and report folders are skipped.
 
@@ -223,32 +262,45 @@ def list_dataset_files(spark: SparkSession, root: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def load_all(spark: SparkSession, root: str, warn=print) -> tuple[DataFrame, DataFrame]:
-    """All dataset files below a folder: merged records (first row per url wins), and the
-    per-file summary. A file that cannot be read is reported and skipped; records that cannot be read
-    are counted as invalid rows of their file."""
-    from webrisk.operators.prep import dedupe_urls, load_summary
+def _array_files(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Those of the JSON files whose first sign is a bracket."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths).filter(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("f"), scan_position().alias("at"))
+    first = lines.groupBy("f").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "at").alias("sign"))
+    return {r.f for r in first.filter("sign = '['").collect()}  # names of files, as the scan itself has them
 
-    parts = []
 
-    def attempt(reader, path) -> None:
-        try:
-            parts.append(reader(spark, path))
-        except Exception as problem:  # a broken file must not stop the load
-            warn(f"[WARN] Failed to load {path}: {problem}")
+def load_all(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """All dataset files below a folder: merged records (first row per url wins), and the per-file summary.
+
+    The plan has one branch per form (lists, CSV, JSON arrays, JSON lines), however many files there are. Records that cannot
+    be read are counted as invalid rows of their file; a file that cannot be read at all is missing in the summary, and
+    `unread_files` names it.
+    """
+    from webrisk.operators.prep import dedupe_urls, load_summary
 
     files = list_dataset_files(spark, root)
-    lists = [f for f in files if f.lower().endswith(".txt")]
-    if lists:  # one scan however many lists there are
-        attempt(read_url_lines, lists)
-    for path in files:
-        if path.lower().endswith(".csv"):  # columns differ per file
-            attempt(read_url_csv, path)
-        elif path.lower().endswith(".json"):
-            attempt(_json_records, path)
+    of = lambda ending: [f for f in files if f.lower().endswith(ending)]
+    parts = []
+    if of(".txt"):
+        parts.append(read_url_lines(spark, of(".txt")))
+    if of(".csv"):
+        parts.append(read_url_csvs(spark, of(".csv")))
+    if of(".json"):
+        arrays = _array_files(spark, of(".json"))
+        for whole in (True, False):
+            chosen = [f for f in of(".json") if (f in arrays) == whole]
+            if chosen:
+                parts.append(read_json_urls(spark, chosen, whole, keep_invalid=True))
     if not parts:
         raise ValueError(f"No datasets loaded from {root}")
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
     return dedupe_urls(merged), load_summary(merged)
+
+
+def unread_files(spark: SparkSession, root: str, summary: DataFrame) -> DataFrame:
+    """source_file of every dataset file below the folder that gave no row: empty or unreadable."""
+    listed = spark.createDataFrame([(f,) for f in list_dataset_files(spark, root)], "source_file string")
+    return listed.join(summary, "source_file", "left_anti")
