@@ -53,3 +53,15 @@ def test_rows_without_key_and_empty_tables(spark):
     cut = lambda d: prep.cut_by_rank(d, ["label"], prep.hash_bucket(digest), [digest, "url"], lambda size: [F.lit(1).cast("long")])
     assert [(r.url, r.part) for r in cut(df).collect()] == [("b", 0)]
     assert cut(df.where("false")).count() == 0
+
+
+def test_average_precision_in_steps(spark):
+    """Ties are one step; a straight line between points would give more."""
+    from pyspark.ml.functions import array_to_vector
+
+    from webrisk.operators.ml import StepwisePrecision
+
+    rows = [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.2), (0, 0.2), (1, 0.1)]
+    df = spark.createDataFrame(rows, "label int, p double").select("label", array_to_vector(F.array(1 - F.col("p"), "p")).alias("probability"))
+    assert StepwisePrecision().evaluate(df) == pytest.approx((1 / 2 + 2 / 3 + 3 / 6) / 3)
+    assert StepwisePrecision().evaluate(df.where("label = 0")) == 0.0
