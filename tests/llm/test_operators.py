@@ -324,3 +324,12 @@ def test_leaks_by_exact_containment(spark, dirty, nothing):
     assert contamination(dirty, items).count() == len(DIRTY)
     assert contamination(nothing, items).count() == 0
     assert find_leaks(docs, items.where("false")).count() == 0
+
+
+def test_query_runs_the_automaton(spark):
+    """The verdicts of the role automaton are part of the result, so the fold is in the plan that runs."""
+    from webrisk.llm.q_native import chat_format
+
+    df = chat_format(spark, SF)
+    assert "aggregate(" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.valid for r in df.collect()} <= {True, False} and df.where("conv_id = -7").first().bad_turn == -1

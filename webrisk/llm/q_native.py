@@ -15,13 +15,19 @@ CHAT_SQL = f"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
-  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
-select conv_id, count(*)::bigint as n_turns,
+  union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+o as (select *, row_number() over w - 1 as i, lag(role, 1, 'start') over w as state
+  from t window w as (partition by conv_id order by turn, role, text)),
+v as (
+  select conv_id, coalesce(min(i) filter (state || '>' || role not in
+      ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')), -1)::int as bad_turn, arg_max(role, i) as last_role
+  from o group by conv_id)
+select conv_id, any_value(bad_turn) as bad_turn, any_value(bad_turn < 0 and last_role in ('user', 'assistant')) as valid, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length('### ' || role || ': ' || {ESCAPED} || '</turn>') + 1)::bigint as formatted_chars
-from t group by conv_id
+from t join v using (conv_id) group by conv_id
 """
 LINE_SQL = f"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
@@ -69,8 +75,8 @@ def chat_format(spark, sf_dir):
     back = read_chats(format_chats(turns, t), t)
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: t.unescape(s["text"])), "")
-    return back.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss")).select(
-        "conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+    return back.select("conv_id", "formatted", "valid", "bad_turn", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss")).select(
+        "conv_id", "valid", "bad_turn", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
