@@ -177,33 +177,37 @@ def _as_event() -> Column:
     )
 
 
-def interaction_results(log: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per page for the scoring plan: ordered events and first-per-code signals.
+def interaction_results(log: DataFrame, keys: list[str], events: bool = True) -> DataFrame:
+    """One row per page for the scoring plan: first-per-code signals and, for timelines, the ordered events.
 
-    The array holds the steps of one recorded session (the recorder stops after four).
+    The first occurrence of each of the few codes is a running minimum, so signals gather nothing and any log length is fine.
+    ``events`` are part of the row by nature: an array of the page's steps. Without them the array is empty, which costs the
+    timeline and the multi-step pattern, but no signal.
     """
     for name, default in (("action", "click"), ("selector", "target")):
         if name not in log.columns:
             log = log.withColumn(name, F.lit(default))
     if "target_index" not in log.columns:
         log = log.withColumn("target_index", F.lit(0))
-    steps = interaction_steps(log, keys).withColumn("_e", _as_event()).withColumn(
-        "_signals",
-        F.transform("new_indicator_codes", lambda c: indicator_signal(c, F.col("significance"))),
-    )
-    grouped = steps.groupBy(*keys).agg(F.collect_list(F.struct("step", "_e", "_signals")).alias("_steps"))
-    order = F.array_sort(F.transform(
-        "_steps", lambda x, i: F.struct(x["step"].alias("step"), i.alias("i"))))
-    ordered = F.transform(order, lambda o: F.element_at(F.col("_steps"), o["i"] + 1))
-    grouped = grouped.withColumn("_ordered", ordered)
-    every = F.flatten(F.transform("_ordered", lambda x: x["_signals"]))
-    grouped = grouped.withColumn("_every", every)
-    codes = F.transform("_every", lambda s: s["code"])
-    first = F.filter("_every", lambda s, i: F.array_position(codes, s["code"]).cast("int") == i + 1)
+    steps = interaction_steps(log, keys)
+    if events:
+        steps = steps.withColumn("_e", _as_event())
+    codes = list(K.INTERACTION_RULES)
+    place = lambda code: F.array_position("new_indicator_codes", code)
+    first = [
+        F.min(F.when(place(code) > 0, F.struct("step", place(code).alias("i"), F.lit(code).alias("code"), "significance"))).alias(f"_first{n}")
+        for n, code in enumerate(codes)]
+    told = [F.collect_list(F.struct("step", "_e")).alias("_steps")] if events else []
+    grouped = steps.groupBy(*keys).agg(*first, *told)
+    found = F.array_sort(F.array_compact(F.array(*(F.col(f"_first{n}") for n in range(len(codes))))))
+    listed = F.array().cast(EVENTS_DDL)
+    if events:
+        # ordered by step, equal steps as they came
+        order = F.array_sort(F.transform("_steps", lambda x, i: F.struct(x["step"].alias("step"), i.alias("i"))))
+        listed = F.transform(order, lambda o: F.element_at(F.col("_steps"), o["i"] + 1)["_e"]).cast(EVENTS_DDL)
     return grouped.select(
-        *keys,
-        F.transform("_ordered", lambda x: x["_e"]).cast(EVENTS_DDL).alias("interaction_events"),
-        first.cast(SIGNALS_DDL).alias("interaction_signals"),
+        *keys, listed.alias("interaction_events"),
+        F.transform(found, lambda x: indicator_signal(x["code"], x["significance"])).cast(SIGNALS_DDL).alias("interaction_signals"),
     )
 
 
