@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from webrisk.llm.pieces import decode, encode
 from webrisk.llm.quality import judge
 from webrisk.llm.substrings import dedup_substrings
 from webrisk.llm.token_count import count_tokens
+from webrisk.llm.q_models import held_out
 from webrisk.llm.toxicity import Restorer, fit_toxicity, language_model, score_toxicity
+from webrisk.llm.toxicity import decode as restored
 
 import public_tokenizers
 
@@ -143,6 +146,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_decoding_is_linear_and_keeps_long_tokens(spark):
+    corpus = spark.createDataFrame([("the idiot said stupid things to the loser and the idiot left " * 20,)], "text string")
+    lm = language_model(corpus)
+    plain = "theidiotsaid" * 350_000
+    seen = time.perf_counter()
+    assert restored(plain, lm) == plain
+    assert restored("1d10t," * 30_000, lm).count("idiot,") >= 29_000
+    assert time.perf_counter() - seen < 30
+
+
+def test_toxicity_recall_and_precision(spark):
+    """About one toxic row in nine of these tables has no toxic word, so recall can't reach one."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(~held_out()))
+    rows = score_toxicity(docs.join(labels.where(held_out()), "doc_id"), model).select("toxic", "score").collect()
+    found = sum(r.toxic for r in rows if r.score >= 0.5)
+    assert found >= 0.85 * sum(r.toxic for r in rows)
+    assert found >= 0.75 * sum(r.score >= 0.5 for r in rows)
+
+
+def test_every_clear_feature_weighs(spark):
+    """Far more than 512 words speak for the label, each in a few rows; none is left out."""
+    word = ["q" + chr(97 + g // 676) + chr(97 + g // 26 % 26) + chr(97 + g % 26) for g in range(1500)]
+    rows = [(g * 6 + k, f"{word[g]} plain text of row", 1) for g in range(1500) for k in range(6)] + [
+        (20_000 + k, "plain text of row", 0) for k in range(60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    model = fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), train_rows=100_000)
+    assert (model.weights > 0).sum() > 1400
+
+
 def test_toxicity_on_dirty_rows(spark, dirty, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit_toxicity(dirty, none)

@@ -6,9 +6,8 @@
    lattices: each run of a sign can stand for itself, for the letters it imitates, or for one or two copies. Viterbi
    takes the path that the channel and the language model together find likeliest. Signs outside the channel (other
    letters, separators) stay as they are; the stretches between them are decoded apart.
-3. Restored texts are described by their short words and word beginnings (hashed, presence only). The features that speak
-   most clearly for the label are kept and weighed by a logistic regression, fitted with Spark ML on at most TRAIN_ROWS
-   labelled rows.
+3. Restored texts are described by their short words and word beginnings (hashed, presence only). All features that speak
+   clearly for the label are weighed by a sparse logistic regression, fitted with Spark ML on at most TRAIN_ROWS labelled rows.
 
 Whole texts are decoded and scored; only the fit is bounded. Defined results: null and empty texts are scored from
 the intercept alone; rows that repeat a doc_id are scored one by one; repeated labels of a document count as the
@@ -37,10 +36,10 @@ from webrisk.llm.wordhash import _BYTE, Words, _powers, mix, text_bytes, words_o
 TRAIN_ROWS = 20_000
 #: Hash buckets of the features: a few times the number of word beginnings, so that few share one.
 DIMENSIONS = 1 << 20
-#: Features that the regression sees: those that speak most clearly for the label among the training rows.
-SELECTED = 512
-#: Toxic rows of a feature, and standard deviations by which they must exceed their expected number.
+#: Toxic rows of a feature, and standard deviations by which they must exceed their expected number: about the level at which
+#: one of a million features passes by chance. All that pass are weighed.
 LEAST_ROWS, LEAST_EXCESS = 5, 5.0
+PENALTY = 3e-4
 BEGINNINGS = (3, 4, 5, 6)
 #: Start of the language model's alphabet: word edge, any other sign, and the letters of Western European languages.
 ALPHABET = "\x00\x01abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
@@ -72,6 +71,8 @@ class LanguageModel:
 
     def __post_init__(self):
         self.code = {c: i for i, c in enumerate(self.alphabet)}
+        # letters that aren't doubled: the channel has one reading for each
+        self.plain = re.compile(f"(?:([{re.escape(self.alphabet[2:])}])(?!\\1))+")
 
 
 def _points(text: str) -> np.ndarray:
@@ -119,10 +120,10 @@ def language_model(docs: DataFrame) -> LanguageModel:
     """Counted over all texts; its size is bounded by LETTERS."""
     alphabet = corpus_alphabet(docs)
     a = len(alphabet)
-    rows = docs.select(F.lower(C.whole_text()).alias("text")).mapInArrow(partial(_count_trigrams, alphabet), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    grams = docs.select(F.lower(C.whole_text()).alias("text")).mapInArrow(partial(_count_trigrams, alphabet), "gram long, n long").groupBy("gram").agg(
+        F.sum("n").alias("n")).toArrow()
     counts = np.zeros(a ** 3)
-    for r in rows:
-        counts[r.gram] = r.n
+    counts[grams.column("gram").to_numpy()] = grams.column("n").to_numpy()
     counts = counts.reshape(a, a, a)
     pairs, single = counts.sum(0), counts.sum((0, 1))
     one = (single + 1) / (single.sum() + a)
@@ -138,11 +139,29 @@ def decode(token: str, lm: LanguageModel) -> str:
 
 
 def _decode(token: str, model: LanguageModel) -> str:
-    """Likeliest spelling of one stretch, by Viterbi over (previous two letters)."""
+    """Likeliest spelling of one stretch, by Viterbi over (previous two letters).
+
+    A state keeps a pointer to its predecessor. Where only one state is left its path is settled and forgotten, so time is
+    linear in the stretch and memory holds what is still undecided.
+    """
     code, lm = model.code, model.logs
-    states = {(0, 0): (0.0, "")}
+    said: list[str] = []
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     at = 0
     while at < len(token):
+        if len(states) == 1:
+            ((p, q), (_, node)), = states.items()
+            said += _path(node)
+            plain = model.plain.match(token, at)
+            if plain:
+                # letters that can only be themselves
+                at = plain.end()
+                said.append(plain[0])
+                last = [code[c] for c in plain[0][-2:]]
+                p, q = (last[0], last[1]) if len(last) == 2 else (q, last[0])
+            states = {(p, q): (0.0, None)}
+            if plain:
+                continue
         sign, end = token[at], at + 1
         while end < len(token) and token[end] == sign:
             end += 1
@@ -159,8 +178,8 @@ def _decode(token: str, model: LanguageModel) -> str:
         if sign not in code:
             options.append(("", COST_DROP if sign.isalnum() else 0.5))
             options.append((token[at:end], COST_SELF))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (p, q), (cost, said) in states.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (p, q), (cost, node) in states.items():
             for letters, extra in options:
                 c, x, y = cost + extra, p, q
                 for letter in letters:
@@ -169,9 +188,18 @@ def _decode(token: str, model: LanguageModel) -> str:
                     x, y = y, z
                 best = after.get((x, y))
                 if best is None or c < best[0]:
-                    after[x, y] = (c, said + letters)
+                    after[x, y] = (c, (node, letters))
         states, at = after, end
-    return min((cost - float(lm[p, q, 0]), said) for (p, q), (cost, said) in states.items())[1]
+    _, node = min(((cost - float(lm[p, q, 0]), node) for (p, q), (cost, node) in states.items()), key=lambda found: found[0])
+    return "".join(said + _path(node))
+
+
+def _path(node: tuple | None) -> list[str]:
+    found = []
+    while node is not None:
+        node, letters = node
+        found.append(letters)
+    return found[::-1]
 
 
 class Restorer:
@@ -286,7 +314,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
             yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.float64()), _lists(features(restored))], ["label", "buckets"])
 
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     rows = C.stored(texts.mapInArrow(described, "label double, buckets array<long>"), "toxic-train")
     total, toxic = rows.agg(F.count("*"), F.sum("label")).first()
@@ -294,28 +322,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
         share = (toxic or 0) / total if total else 0.0
         return ToxicityModel(lm, np.zeros(DIMENSIONS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     # how far a feature's toxic rows exceed their expected number, in standard deviations
-    base = toxic / total
-    n = F.count("*")
+    base, n = toxic / total, F.count("*")
     clear = (rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket")
              .agg(((F.sum("label") - n * base) / F.sqrt(n * base * (1 - base))).alias("z"), F.sum("label").alias("n"))
-             .where((F.col("z") >= LEAST_EXCESS) & (F.col("n") >= LEAST_ROWS))
-             .orderBy(F.desc("z"), "bucket").limit(SELECTED).collect())
-    chosen_buckets = np.array(sorted(r.bucket for r in clear), np.int64)
-    if not len(chosen_buckets):
+             .where((F.col("z") >= LEAST_EXCESS) & (F.col("n") >= LEAST_ROWS)).select("bucket").toArrow())
+    names = np.sort(clear.column("bucket").to_numpy())
+    if not len(names):
         return ToxicityModel(lm, np.zeros(DIMENSIONS, np.float32), float(np.log(base / (1 - base))))
 
-    def presence(batches):
-        for batch in batches:
-            seen = [np.isin(chosen_buckets, b.values.to_numpy(zero_copy_only=False)).astype(float) for b in batch.column("buckets")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(seen, pa.list_(pa.float64()))], ["label", "x"])
+    def vector(buckets):
+        at = np.searchsorted(names, buckets)
+        at = at[names[np.minimum(at, len(names) - 1)] == buckets]
+        return Vectors.sparse(len(names), at, np.ones(len(at)))
 
-    # both kinds weigh the same in total, so that the threshold of 0.5 lies between them
-    weight = F.when(F.col("label") > 0, F.lit((total - toxic) / toxic)).otherwise(1.0)
-    dense = C.stored(rows.mapInArrow(presence, "label double, x array<double>"), "toxic-dense")
-    fitted = LogisticRegression(maxIter=100, regParam=3e-4, standardization=False, weightCol="weight").fit(
-        dense.select("label", weight.alias("weight"), array_to_vector("x").alias("features")))
+    # half way to equal totals of both kinds: features that are toxic in every second row don't decide alone
+    weight = F.when(F.col("label") > 0, F.lit(((total - toxic) / toxic) ** 0.5)).otherwise(1.0)
+    # few partitions: each sends a gradient as long as the features in every round
+    fitted = LogisticRegression(maxIter=100, regParam=PENALTY, standardization=False, weightCol="weight").fit(
+        rows.coalesce(4).select("label", weight.alias("weight"), F.udf(vector, VectorUDT())("buckets").alias("features")))
     weights = np.zeros(DIMENSIONS, np.float32)
-    weights[chosen_buckets] = fitted.coefficients.toArray()
+    weights[names] = fitted.coefficients.toArray()
     return ToxicityModel(lm, weights, float(fitted.intercept))
 
 
