@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -30,8 +31,7 @@ def _drain(spark, df, mode):
     return spark.read.schema(df.schema).parquet(f"{run}/out")
 
 
-def _scan_stream(spark, sf):
-    e = _stream(spark, sf, "events")
+def _scans(e):
     score = F.least(F.lit(100), F.floor("value")).cast("int")
     return e.select(
         "user_id", score.alias("risk_score"),
@@ -39,9 +39,31 @@ def _scan_stream(spark, sf):
         .otherwise("Critical").alias("classification"))
 
 
-@register("stream_breakdown", f"with {S.SCANS} select user_id, classification, count(*)::bigint as count, {S.half_even('avg(risk_score)', 2)} as avg_risk_score from sc group by all")
+BREAKDOWN = f"with {S.SCANS} select user_id, classification, count(*)::bigint as count, {S.half_even('avg(risk_score)', 2)} as avg_risk_score from sc group by all"
+
+
+def _sliced(spark, sf, slices=4):
+    """The events as a stream of several batches, in the order of time."""
+    e = I.table(spark, sf, "events")
+    cuts = e.agg(F.percentile_approx(F.unix_micros("ts"), [i / slices for i in range(1, slices)])).first()[0] or []
+    piece = reduce(lambda n, c: n + (F.unix_micros("ts") > c).cast("int"), sorted(set(cuts)), F.lit(0))
+    piece = F.coalesce(piece, F.lit(0))
+    folder = f"{shared_root(spark)}/events-{uuid.uuid4().hex[:12]}"
+    for i in range(len(set(cuts)) + 1):
+        e.where(piece == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@register("stream_dashboard", BREAKDOWN)
+def stream_dashboard(spark, sf):
+    path = f"{shared_root(spark)}/dashboard-{uuid.uuid4().hex[:12]}"
+    jobs.keep_breakdown(_scans(_sliced(spark, sf)), path, parts=16).awaitTermination()
+    return jobs.breakdown_table(spark, path, parts=16).read()
+
+
+@register("stream_breakdown", BREAKDOWN)
 def stream_breakdown(spark, sf):
-    return _drain(spark, jobs.running_breakdown(_scan_stream(spark, sf)), "complete")
+    return _drain(spark, jobs.running_breakdown(_scans(_stream(spark, sf, "events"))), "complete")
 
 
 FIRST_LOOKUPS = """
@@ -65,6 +87,13 @@ def stream_lookups(spark, sf):
     return _drain(spark, jobs.first_lookups(_lookups(_stream(spark, sf, "events"))), "append")
 
 
+@register("stream_lookup_misses", FIRST_LOOKUPS)
+def stream_lookup_misses(spark, sf):
+    path = f"{shared_root(spark)}/misses-{uuid.uuid4().hex[:12]}"
+    jobs.keep_first_lookups(_lookups(_sliced(spark, sf)), path, parts=16).awaitTermination()
+    return spark.read.parquet(f"{path}/misses").select("url", "ts")
+
+
 @register("first_lookups", FIRST_LOOKUPS)
 def table_lookups(spark, sf):
     return jobs.first_lookups(_lookups(I.table(spark, sf, "events")))
