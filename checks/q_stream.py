@@ -45,8 +45,9 @@ BREAKDOWN = f"with {S.SCANS} select user_id, classification, count(*)::bigint as
 def _sliced(spark, sf, slices=4):
     """The events as a stream of several batches, in the order of time."""
     e = I.table(spark, sf, "events")
-    cuts = e.agg(F.percentile_approx(F.unix_micros("ts"), [i / slices for i in range(1, slices)])).first()[0] or []
-    piece = reduce(lambda n, c: n + (F.unix_micros("ts") > c).cast("int"), sorted(set(cuts)), F.lit(0))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
+    piece = reduce(lambda n, c: n + (us > c).cast("int"), sorted(set(cuts)), F.lit(0))
     piece = F.coalesce(piece, F.lit(0))
     folder = f"{shared_root(spark)}/events-{uuid.uuid4().hex[:12]}"
     for i in range(len(set(cuts)) + 1):
