@@ -1,8 +1,8 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A store holds runs: tables of (hash, documents, owner), bucketed and sorted by hash. A new batch
-is merge-anti-joined with the runs, which tells the keys that are seen for the first time, and is added as
-a run of level 0. When a level holds `fanout` runs they are merged into one of the next level, so the
+is merge-anti-joined with the runs: only keys that no run holds enter with an owner, the others add to their
+documents. The batch becomes a run of level 0. When a level holds `fanout` runs they are merged into one of the next level, so the
 number of runs stays logarithmic and every key is rewritten once per level.
 
 Batches are taken from the largest doc_id down, so the document in which a key appears first is the
@@ -58,7 +58,8 @@ class LineStore:
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
+        # a key has one owner, from the batch that it was fresh in
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """The keys that no run holds: one merge anti join per run."""
