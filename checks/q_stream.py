@@ -16,8 +16,9 @@ from webrisk.streaming import jobs
 
 
 def _stream(spark, sf, name):
+    """A table as a file stream. It may be a file or a folder of files: a pattern meets both, where a plain path must be a folder."""
     schema = I.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 def _drain(spark, df, mode):
@@ -109,4 +110,5 @@ def stream_scores(spark, sf):
         "user_id": F.col("page_id") % 7, "ts": F.lit("2024-01-01").cast("timestamp")})
     query = jobs.score_stream(pages, f"{run}/history", f"{run}/checkpoint", options=ScoreOptions())
     query.awaitTermination()
-    return spark.read.parquet(f"{run}/history").select("id", "user_id", "risk_score", "classification")
+    # a table without rows leaves no files to take the columns from
+    return spark.read.schema("id bigint, user_id bigint, risk_score int, classification string").parquet(f"{run}/history").drop("batch_id")
