@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ _VOID = frozenset((
     "track", "wbr",
 ))
 _NO_TEXT = frozenset(("script", "style", "template"))
-# bytes of page source handed to one Arrow batch; keeps Python workers small on fat pages
-_SLICE_BYTES = 32 * 1024 * 1024
+# bytes of page source parsed at once: tags as Python objects take many times the source, so this, not the input, sets a worker's memory
+_SLICE_BYTES = 512 * 1024
 
 
 class _PageReader(HTMLParser):
@@ -126,12 +127,13 @@ def read_page(source: str | None) -> tuple[list[dict] | None, str | None]:
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
         start = 0
         while start < batch.num_rows:
             # bound the memory of one output batch by bytes, not by rows
             stop, size = start, 0
             while stop < batch.num_rows and size < _SLICE_BYTES:
-                size += len(batch.column(1)[stop].as_buffer() or b"") if batch.column(1)[stop].is_valid else 0
+                size += lengths[stop]
                 stop += 1
             part = batch.slice(start, stop - start)
             parsed = [read_page(value) for value in part.column(1).to_pylist()]
