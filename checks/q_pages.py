@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from checks import inputs as I
@@ -38,9 +40,18 @@ def page_forms(spark, sf):
 STRIP = "regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g')"
 
 
+# character references as HTML reads them: the longest known name, whose semicolon some names may lack
+NAMES = sorted(html5, key=lambda n: (-len(n), n))
+CHARS = f"map([{', '.join(S.text(n) for n in NAMES)}], [{', '.join(S.text(html5[n]) for n in NAMES)}])"
+NAMED = f"regexp_extract(p, {S.text('^(?:' + '|'.join(NAMES) + ')')})"
+DECODED = f"""array_to_string(list_transform(string_split(x, '&'), lambda p, i: case when i = 1 then p
+  when {NAMED} = '' then '&' || p else chars[{NAMED}] || substr(p, length({NAMED}) + 1) end), '')"""
+
+
 @register("page_text", f"""
+with names as materialized (select {CHARS} as chars)
 select page_id, array_to_string(list_filter(list_transform(string_split({STRIP}, chr(1)),
-  lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'))), lambda x: x <> ''), ' ') as page_text from pages""")
+  lambda x: trim({DECODED})), lambda x: x <> ''), ' ') as page_text from pages, names""")
 def text_of_pages(spark, sf):
     return page_text(I.table(spark, sf, "pages"))
 
