@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webrisk import catalogs as K
 from webrisk.functions import text as T
+from webrisk.functions.plan import sealed
 from webrisk.operators.signals import SIGNALS_DDL, explode_signals, extracted, fired
 
 ISSUES_DDL = "array<struct<code:string,title:string,description:string,severity:string>>"
@@ -168,7 +169,9 @@ def text_scores(
     df: DataFrame, keys: list[str], text: str = "text",
     model_score: str | None = None, model_confidence: str | None = None,
 ) -> DataFrame:
-    """Text score table: one row per text."""
-    return with_text_score(df, text, model_score, model_confidence).select(
-        *keys, "text_score", "text_confidence", "text_mode", "text_sub_scores", "text_issues"
-    )
+    """Text score table: one row per text.
+
+    The columns are sealed: a filter on them, such as the one that ``explode`` adds, would repeat all searches at the scan.
+    """
+    columns = ["text_score", "text_confidence", "text_mode", "text_sub_scores", "text_issues"]
+    return sealed(with_text_score(df, text, model_score, model_confidence).select(*keys, *columns), columns)
