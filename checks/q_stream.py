@@ -43,8 +43,12 @@ def _scans(e):
 BREAKDOWN = f"with {S.SCANS} select user_id, classification, count(*)::bigint as count, {S.half_even('avg(risk_score)', 2)} as avg_risk_score from sc group by all"
 
 
-def _sliced(spark, sf, slices=4):
-    """The events as a stream of several batches, in the order of time."""
+def _sliced(spark, sf, start, slices=4):
+    """Run a job over the events as a stream of several batches, in the order of time.
+
+    A slice is written by many tasks and then given to the job, which goes on from its checkpoint: a batch per slice,
+    whatever the number of its files.
+    """
     e = I.table(spark, sf, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = e.agg(F.percentile_approx(us, [i / slices for i in range(1, slices)])).first()[0] or []
@@ -52,14 +56,14 @@ def _sliced(spark, sf, slices=4):
     piece = F.coalesce(piece, F.lit(0))
     folder = f"{shared_root(spark)}/events-{uuid.uuid4().hex[:12]}"
     for i in range(len(set(cuts)) + 1):
-        e.where(piece == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        e.where(piece == i).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(e.schema).parquet(folder)).awaitTermination()
 
 
 @register("stream_dashboard", BREAKDOWN)
 def stream_dashboard(spark, sf):
     path = f"{shared_root(spark)}/dashboard-{uuid.uuid4().hex[:12]}"
-    jobs.keep_breakdown(_scans(_sliced(spark, sf)), path, parts=16).awaitTermination()
+    _sliced(spark, sf, lambda events: jobs.keep_breakdown(_scans(events), path, parts=16))
     return jobs.breakdown_table(spark, path, parts=16).read()
 
 
@@ -92,7 +96,7 @@ def stream_lookups(spark, sf):
 @register("stream_lookup_misses", FIRST_LOOKUPS)
 def stream_lookup_misses(spark, sf):
     path = f"{shared_root(spark)}/misses-{uuid.uuid4().hex[:12]}"
-    jobs.keep_first_lookups(_lookups(_sliced(spark, sf)), path, parts=16).awaitTermination()
+    _sliced(spark, sf, lambda events: jobs.keep_first_lookups(_lookups(events), path, parts=16))
     return spark.read.parquet(f"{path}/misses").select("url", "ts")
 
 
