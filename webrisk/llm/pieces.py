@@ -24,8 +24,10 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import uuid
 from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ MASK = 60
 REPORTED, FLUSH = 4, 300_000
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _MODELS: dict[str, "Pieces"] = {}
+#: The table of a worker, kept over its tasks: (broadcast, words with ids)
+_SENT: dict[tuple, "_Ids"] = {}
 
 
 class Pieces:
@@ -139,20 +143,68 @@ def _spelled(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text, without the one blank that begins most of them; a word of another form keeps all its blanks."""
+    if not text:
+        return []
+    if "  " in text or BLANK in text or text[0] == " " or text[-1] == " ":
+        return [_bare(w) for w in _WORD.findall(_spelled(text))]
+    return text.split(" ")
+
+
+def _bare(word: str) -> str:
+    return word[1:] if word[1:2] not in ("", BLANK) else word
+
+
+def _whole(word: str) -> str:
+    """A word of `_words` with its blanks."""
+    return word if word[0] == BLANK else BLANK + word
+
+
+class _Ids(dict):
+    """Word of `_words` → ids: those of the table, and of further words as they are met; with their parts at most FLUSH."""
+
+    def __init__(self, vocab: Pieces, words: list[str], cuts: list[int]):
+        super().__init__((_bare(w), vocab.numbers(_parts(w, c))) for w, c in zip(words, cuts))
+        self.vocab = vocab
+        self.met: list[str] = []
+        self.parts: dict[str, list[int]] = {}  # those that no blank begins
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self.met) + len(self.parts) >= FLUSH:
+            for w in self.met:
+                del self[w]
+            self.met.clear()
+            self.parts.clear()
+        vocab, parts, found = self.vocab, self.parts, []
+        for part in vocab.segments(_whole(word)):
+            known = self.get(_bare(part)) if part[0] == BLANK else parts.get(part)
+            if known is None:
+                known = vocab.numbers(vocab.merge(part))
+                if part[0] != BLANK:
+                    parts[part] = known
+                elif (first := _bare(part)) != word:
+                    self[first] = known
+                    self.met.append(first)
+            found += known
+        self[word] = found
+        self.met.append(word)
+        return found
+
+
 def _word_counts(batches):
     """Words of a task's texts with counts, given out whenever many have gathered."""
     held: Counter = Counter()
 
     def out():
-        words = [w for w, n in held.items() if n >= REPORTED and len(w) <= MASK]
-        table = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], ["word", "n"])
+        often = [(_whole(w), n) for w, n in held.items() if n >= REPORTED and len(w) < MASK]
+        table = pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
         held.clear()
         return table
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text:
-                held.update(_WORD.findall(_spelled(text)))
+            held.update(_words(text))
             if len(held) > FLUSH:
                 yield out()
     yield out()
@@ -207,32 +259,20 @@ def encode(docs: DataFrame, path: str, column: str = "text", sent_words: int = S
     table = best_cuts(frequent_words(docs.select(F.col(column).alias("text")), sent_words), path).toArrow()
     sent = spark.sparkContext.broadcast((table.column("word").to_pylist(), table.column("cuts").to_pylist()))
     schema = docs.drop("ids").schema.add("ids", T.ArrayType(T.IntegerType()))
-    names = schema.names[:-1]
+    names, name = schema.names[:-1], uuid.uuid4().hex
 
     def run(batches):
-        vocab = vocabulary(path)
-        words, cuts = sent.value
-        common = {w: vocab.numbers(_parts(w, c)) for w, c in zip(words, cuts)}
-        rare: dict[str, list[int]] = {}
-
-        def ids(word: str) -> list[int]:
-            found = rare.get(word)
-            if found is None:
-                if len(rare) > FLUSH:
-                    rare.clear()
-                found = []
-                for part in vocab.segments(word):
-                    found += common.get(part) or rare.get(part) or rare.setdefault(part, vocab.numbers(vocab.merge(part)))
-                rare[word] = found
-            return found
-
+        key = (name, os.path.abspath(path))
+        if key not in _SENT:
+            _SENT.clear()
+            _SENT[key] = _Ids(vocabulary(path), *sent.value)
+        ids = _SENT[key].__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 flat, ends = array("i"), [0]
                 for text in batch.column(column).to_pylist():
-                    for word in _WORD.findall(_spelled(text or "")):
-                        flat.extend(common.get(word) or ids(word))
+                    flat.extend(chain.from_iterable(map(ids, _words(text))))
                     ends.append(len(flat))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], schema.names)
